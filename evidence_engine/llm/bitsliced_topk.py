@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def vectors(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
     picked = lists.take(pa.array(rows))
     flat = np.asarray(picked.flatten().cast(pa.float64()).fill_null(math.nan), dtype=np.float64)
-    length = np.asarray(pa.compute.list_value_length(picked), dtype=np.int64)
+    length = np.asarray(pc.list_value_length(picked), dtype=np.int64)
     width = int(length.max(initial=0))
     out = np.zeros((len(rows), width))
     out[np.arange(width)[None, :] < length[:, None]] = flat

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def text_slices(batches: Iterator[pa.RecordBatch], max_rows: int = 1024, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches (text in the column "text") so that no slice holds more than max_bytes, single rows aside."""
     for batch in batches:
-        size = np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0))
+        size = np.asarray(pc.binary_length(batch.column("text")).fill_null(0))
         at = 0
         while at < len(size):
             ends = np.cumsum(size[at : at + max_rows])
