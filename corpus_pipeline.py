@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_tiles.drop_near_duplicates(docs, shingle=5, radius=4)
+    return simhash_tiles.drop_near_duplicates(docs, simhash_tiles.near_copies(docs, shingle=5, similarity=0.8))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,27 +29,36 @@ from evidence_engine.llm.shared import connected_components, materialize, spanni
 SEED = 42
 
 
-def fingerprints(texts: list[str | None], shingle: int, at_once: int = 1 << 16) -> np.ndarray:
-    """A 64-bit SimHash of each text's word shingles: a bit is 1 if it is in over half the hashes."""
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes made of h; the first is h itself."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sketches(texts: list[str | None], shingle: int, lanes: int = 1, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of each text's word shingles, 64 bits a lane (a bit is 1 if it is in over half the hashes), and the
+    numbers of shingles."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(texts), np.uint64)
+    out, size = np.zeros((len(texts), lanes), np.uint64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owner: list[int] = []
-    count: list[int] = []
 
     def settle() -> None:
-        if not owner:
-            return
         h = np.array(hashes, np.uint64)
-        n = np.array(count, np.int64)
-        # Counts of up to 255 bytes' sums fit uint8 blocks no longer than that, but int32 serves all lengths.
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
-        out[owner] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        ends = np.cumsum(size[owner])
+        for k in range(lanes):
+            bits = np.unpackbits(_lane(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for i, end in zip(owner, ends, strict=True):
+                n = size[i]
+                ones = bits[end - n : end].sum(axis=0, dtype=np.int32)
+                out[i, k] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
         hashes.clear()
         owner.clear()
-        count.clear()
 
     for i, t in enumerate(texts):
         words = t.encode().lower().split() if t else []  # bytes.lower() changes A-Z alone
@@ -64,11 +73,15 @@ def fingerprints(texts: list[str | None], shingle: int, at_once: int = 1 << 16)
             found = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
         hashes.extend(found)
         owner.append(i)
-        count.append(len(found))
+        size[i] = len(found)
         if len(hashes) >= at_once:
             settle()
     settle()
-    return out
+    return out, size
+
+
+def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+    return sketches(texts, shingle)[0][:, 0]
 
 
 def _fingerprint(shingle: int):
@@ -169,11 +182,127 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+# Near copies by similarity. A similarity of 0.8 leaves a distance of about a sixth of the bits, which 64 bits
+# estimate too roughly: the first lane only sieves, and all lanes together decide.
+LANES = 4
+
+
+def _sketch(shingle: int):
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in text_slices(batches):
+            lanes, size = sketches(batch.column("text").to_pylist(), shingle, LANES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(lanes[:, k].copy().view(np.int64)) for k in range(LANES)), pa.array(size)], names=["id", *(f"w{k}" for k in range(LANES)), "n"])
+
+    return run
+
+
+def radii(similarity: float) -> tuple[int, int]:
+    """Bits that the first lane, and that all lanes may differ by, for texts of at least this similarity (of sets of shingles):
+    the expected distance and two or three standard deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    wide = 64 * LANES
+    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share))), int(wide * share + 2 * np.sqrt(wide * share * (1 - share)))
+
+
+def copy_links(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, similarity: float, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles (b None: within a). Tiles are in order of size, and pieces are
+    skipped if their sizes or their population counts lie too far apart."""
+    first, total = radii(similarity)
+
+    def cut(x: dict[str, np.ndarray]):
+        order = np.argsort(x["n"], kind="stable")
+        x = {k: v[order] for k, v in x.items()}
+        return [{k: v[i : i + piece] for k, v in x.items()} for i in range(0, len(order), piece)]
+
+    def span(x: dict[str, np.ndarray]) -> tuple[int, int, int, int]:
+        pc = np.bitwise_count(x["w0"])
+        return int(x["n"][0]), int(x["n"][-1]), int(pc.min()), int(pc.max())
+
+    pieces_a = cut(a)
+    pieces_b = pieces_a if b is None else cut(b)
+    spans_a, spans_b = [span(x) for x in pieces_a], [span(x) for x in pieces_b]
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    held = 0
+    for i, x in enumerate(pieces_a):
+        for j, y in enumerate(pieces_b):
+            p, q = spans_a[i], spans_b[j]
+            if b is None and j < i or max(p[0], q[0]) * similarity > min(p[1], q[1]) or max(p[2] - q[3], q[2] - p[3]) > first:
+                continue
+            r, c = np.nonzero(np.bitwise_count(x["w0"][:, None] ^ y["w0"][None, :]) <= first)
+            if b is None and j == i:
+                r, c = r[r < c], c[r < c]
+            if not len(r):
+                continue
+            apart = sum(np.bitwise_count(x[f"w{k}"][r] ^ y[f"w{k}"][c]).astype(np.int32) for k in range(LANES))
+            near = (apart <= total) & (np.minimum(x["n"][r], y["n"][c]) >= similarity * np.maximum(x["n"][r], y["n"][c]))
+            if near.any():
+                us.append(x["node"][r[near]])
+                vs.append(y["node"][c[near]])
+                held += len(us[-1])
+                if held > 500_000:
+                    u, v = spanning_stars(np.concatenate(us), np.concatenate(vs))
+                    us, vs, held = [u], [v], 0
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return spanning_stars(np.concatenate(us), np.concatenate(vs))
+
+
+def _copies(similarity: float):
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = ({f: np.asarray(batch.column(c)[r].values.field(f), dtype=np.int64) for f in ("node", "n", *(f"w{k}" for k in range(LANES)))} for c in ("rows_a", "rows_b"))
+                for side in (a, b):
+                    side.update({f"w{k}": side[f"w{k}"].view(np.uint64) for k in range(LANES)})
+                u, v = copy_links(a, None if batch.column("same")[r].as_py() else b, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = 4096) -> DataFrame:
+    """(id, component_id) for every row: rows reachable over links of texts whose similarity is estimated at `similarity` or
+    more share the smallest of their ids.
+
+    Tiles hold texts of like numbers of shingles: such a similarity needs a ratio of sizes no less, so only tiles of the same
+    and the next level are paired."""
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    lanes = [f"w{k}" for k in range(LANES)]
+    rows = materialize(slim.mapInArrow(_sketch(shingle), "id long, " + "".join(f"{w} long, " for w in lanes) + "n long").withColumn("node", F.xxhash64(*lanes, "n")), "sketches")
+    nodes = materialize(rows.groupBy("node", "n", *lanes).agg(F.min("id").alias("least")), "distinct-sketches")
+    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("int")
+    held = nodes.select("node", "n", *lanes, level.alias("level"))
+    n_of = {r["level"]: -(-r["c"] // tile_rows) for r in held.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row for each factor of sizes
+    if not n_of:
+        return rows.select("id", F.col("id").alias("component_id"))
+    tiles_of = F.create_map(*(F.lit(x) for kv in sorted(n_of.items()) for x in kv))
+    tiles = held.withColumn("sub", F.pmod("node", tiles_of[F.col("level")]).cast("int")).groupBy("level", "sub").agg(F.collect_list(F.struct("node", "n", *lanes)).alias("rows"))
+    parts = min(4096, sum(n * (n + n_of.get(p + 1, 0)) for p, n in n_of.items()))
+
+    def side(name: str, sign: int) -> DataFrame:
+        other = tiles.withColumn("level_o", F.explode(F.array(F.col("level"), F.col("level") + sign))).where(F.col("level_o").isin(*n_of)).withColumn("sub_o", F.explode(F.sequence(F.lit(0), (tiles_of[F.col("level_o")] - 1).cast("int"))))
+        a, b = ("", "_o") if sign > 0 else ("_o", "")
+        cell = other.select(*(F.col(f"{c}{e}").cast("int").alias(f"{c}_{k}") for k, e in (("a", a), ("b", b)) for c in ("level", "sub")), F.col("rows").alias(f"rows_{name}"))
+        return cell.where("level_a < level_b or sub_a <= sub_b").repartition(parts, "level_a", "sub_a", "level_b", "sub_b")
+
+    pairs = side("a", 1).join(side("b", -1), ["level_a", "sub_a", "level_b", "sub_b"])
+    links = pairs.select("rows_a", "rows_b", F.expr("level_a = level_b and sub_a = sub_b").alias("same")).mapInArrow(_copies(similarity), "u long, v long")
+    roots = connected_components(links, "near-copies")
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """df, all columns, with one row of each component: that of the smallest id; rows with a null id stay.
 
-    If ids repeat, one row of each such id stays; its texts may differ."""
-    found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius)
+    found has (id, component_id), by default of near_duplicates(). If ids repeat, one row of each such id stays; its
+    texts may differ."""
+    if found is None:
+        found = near_duplicates(df, id_col, text_col, shingle, radius)
     first = materialize(found.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "representatives")
     chosen = df.join(first.select(F.col("id").alias(id_col)), id_col, "left_semi")
     if first.where("n > 1").limit(1).count():
