@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, maxent_lm, piece_codec, quality_cascade, sharding, simhash_tiles, toxic_lexicon, warc_chunks
+from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, maxent_lm, oracle, piece_codec, quality_cascade, sharding, simhash_tiles, toxic_lexicon, warc_chunks
 from evidence_engine.llm.shared import fresh_path, table
 
 
@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
