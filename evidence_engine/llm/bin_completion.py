@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from evidence_engine.llm.shared import materialize, text_slices
 
 _tables: dict[str, WordTable] = {}
-_TAIL = b".,;:!?"
+#: ASCII marks at the end of a word are one run for the tokenizer; not so the apostrophe, which begins contractions.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTable:
     """Distinct word -> its ids as little-endian 32-bit bytes. Emptied at its bound, which only costs time."""
 
-    def __init__(self, path: str, max_entries: int = 500_000, max_key: int = 256) -> None:
+    def __init__(self, path: str, max_entries: int = 1_000_000, max_key: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,40 +48,61 @@ class WordTable:
             joint = self.tokenizer.encode(probe, add_special_tokens=False).ids
             if joint != [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
                 raise ValueError(f"{path} doesn't drop white space; words can't be encoded apart")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
         self.max_entries, self.max_key = max_entries, max_key
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        new = set(words).difference(self.ids)
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters alone: each is one run for the tokenizer, whose last piece is marked as an end of a word, so
+        all are encoded as one text and cut at these marks."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter that is several when lowered
+            return [self._one(w) for w in words]
+        raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(starts, starts[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        words = [t.encode().split() if t else [] for t in texts]
+        every = set().union(*words)
+        new = every.difference(self.ids)
         if new:
             if len(self.ids) + 2 * len(new) > self.max_entries:
                 self.ids.clear()
-                new = set(words)
+                new = every
             self._learn(new)
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:  # words too long to be kept
-            return b"".join(self.ids[w] if w in self.ids else self._encode([w])[0] for w in words)
+        long = {w: self._one(w) for w in new if len(w) > self.max_key}
+        ids = self.ids | long if long else self.ids
+        return [b"".join(map(ids.__getitem__, w)) for w in words]
 
     def _learn(self, words: set[bytes]) -> None:
-        """A word of ASCII letters and marks at its end has the ids of its lower-case stem and of the marks, as the
-        tokenizer lowers letters and parts them from marks."""
-        whole, parts = [], {}
+        """A word of letters and marks at its end has the ids of the letters and of the marks, as the tokenizer parts them;
+        it lowers letters, so ASCII ones are lowered first."""
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        stems, others = set(), set()
         for w in words:
             if len(w) > self.max_key:
                 continue
             stem = w.rstrip(_TAIL)
-            if stem.isalpha() and (len(stem) < len(w) or not w.islower()):
-                parts[w] = (stem.lower(), w[len(stem) :])
-            else:
-                whole.append(w)
-        needed = {x for p in parts.values() for x in p if x}.difference(self.ids)
-        todo = list(needed.union(whole))
+            if stem.isalpha():
+                stem = stem.lower()
+            elif not stem.decode().isalpha():
+                others.add(w)
+                continue
+            stems.add(stem)
+            parts[w] = (stem, w[len(stem) :])
+        todo = list(stems.difference(self.ids))
         self.ids.update(zip(todo, self._encode(todo), strict=True))
+        for w in others | {t for _, t in parts.values() if t}.difference(self.ids):
+            self.ids[w] = self._one(w)
         for w, (stem, tail) in parts.items():
             self.ids[w] = self.ids[stem] + (self.ids[tail] if tail else b"")
 
@@ -96,10 +118,10 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterable[pa.RecordBatch]):
         table = word_table(path)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=2 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                all_ids = memoryview((table.encode(text) if text else b"") + end)
+            for i, own in enumerate(table.encode(batch.column("text").to_pylist())):
+                all_ids = memoryview(own + end)
                 for p, at in enumerate(range(0, len(all_ids), 4 * capacity)):
                     part = all_ids[at : at + 4 * capacity]
                     row.append(i)
