@@ -6,7 +6,8 @@ readings, with 1 as i and as l. Everything but letters parts words.
 
 The lexicon is learned: of the beginnings of words in texts labelled toxic those are kept that all but never
 begin a word of a text labelled otherwise, each as long as it can be without losing texts. An entry's
-weight is its log likelihood ratio. Entries within an exception phrase don't count.
+weight is its log likelihood ratio. Of these the ones stay that explain texts which more frequent ones don't. Entries within an
+exception phrase don't count.
 
 The score is a logistic function of the weight found and of the weight by length, both as logarithms,
 fitted on the sample that the lexicon was learned from. Learning reads a bounded sample of labelled rows
@@ -167,6 +168,33 @@ def choose_terms(positive: dict[str, int], negative: dict[str, int], n_pos: int,
     return out
 
 
+def covering(hits: list[frozenset[str]], weights: dict[str, float], least: int) -> dict[str, float]:
+    """The entries that explain texts which more frequent ones don't (at least so many), or that are in over a fiftieth of all.
+    What merely comes along with toxic words, as in copies of a text, goes."""
+    by: dict[str, set[int]] = {}
+    for i, h in enumerate(hits):
+        for t in h:
+            by.setdefault(t, set()).add(i)
+    seen: set[int] = set()
+    out: dict[str, float] = {}
+    for t in sorted(by, key=lambda t: (-len(by[t]), t)):
+        if len(by[t] - seen) >= least or 50 * len(by[t]) > len(hits):
+            out[t] = weights[t]
+            seen |= by[t]
+    return out
+
+
+def _entries(weights: dict[str, float]):
+    """The entries of each text, those that begin one of its words."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        longest, shortest = max(map(len, weights)), min(map(len, weights))
+        for batch in text_slices(batches):
+            yield pa.RecordBatch.from_pydict({"terms": [sorted(t for t in beginnings(x, shortest, longest) if t in weights) for x in batch.column("text").to_pylist()]})
+
+    return run
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Logistic regression by Newton's method; weights of features are kept from being negative by dropping them."""
     design = np.column_stack([np.ones(len(x)), x])
@@ -201,7 +229,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_nega
     total = lambda rows: rows.groupBy("term").agg(F.sum("n").alias("n"))
     positive = {r["term"]: r["n"] for r in total(sample.where("toxic = 1").select("text").mapInArrow(_count(shortest, longest, None), "term string, n long")).where(F.col("n") >= 3).orderBy(F.desc("n"), "term").limit(max_terms).collect()}
     negative = {r["term"]: r["n"] for r in total(sample.where("toxic = 0").select("text").mapInArrow(_count(shortest, longest, frozenset(positive)), "term string, n long")).collect()}  # max_terms rows at most
-    lexicon = Lexicon(choose_terms(positive, negative, n_pos, n_neg), exceptions, (0.0, 0.0, 0.0))
+    weights = choose_terms(positive, negative, n_pos, n_neg)
+    if weights:
+        hits = sample.where("toxic = 1").select("text").mapInArrow(_entries(weights), "terms array<string>").where(F.size("terms") > 0).collect()  # max_positive rows at most
+        weights = covering([frozenset(r["terms"]) for r in hits], weights, max(3, n_pos // 500))
+    lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
     rows = sample.select("text", "toxic").mapInArrow(_features(lexicon), "toxic int, a double, b double").groupBy("toxic", "a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "a", "b").collect()  # the sample's rows at most
     x = np.array([[r["a"], r["b"]] for r in rows for _ in range(r["n"])])
     y = np.array([float(r["toxic"]) for r in rows for _ in range(r["n"])])
