@@ -134,6 +134,16 @@ def _letterless(x: Texts, at: np.ndarray) -> np.ndarray:
     return np.array([sum(1 for w in x.raw[i].split() if w.translate(None, _LETTERS) == w) > 0.4 * x.base["n_words"][i] for i in at], bool)
 
 
+def _stutter(x: Texts, at: np.ndarray) -> np.ndarray:
+    """Too many words that repeat the one before."""
+
+    def one(i: int) -> bool:
+        w = x.raw[i].split()
+        return sum(map(bytes.__eq__, w, w[1:])) > 0.2 * len(w)
+
+    return np.array([one(i) for i in at], bool)
+
+
 def _compressible(x: Texts, at: np.ndarray) -> np.ndarray:
     return np.array([len(x.raw[i]) >= 1000 and len(zlib.compress(x.raw[i], 1)) < 0.12 * len(x.raw[i]) for i in at], bool)
 
@@ -147,6 +157,7 @@ RULES: dict[str, Rule] = {
     "digits": _share(_DIGITS, 0.3),
     "capitals": _share(_CAPITALS, 0.4),
     "letterless": _letterless,
+    "stutter": _stutter,
     "compressible": _compressible,
 }
 
