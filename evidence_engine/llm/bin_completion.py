@@ -6,7 +6,7 @@ only the number of pieces of each length, at most `capacity` numbers however lar
 by best fit in descending order first; if that isn't at the lower bound of bins, bin completion looks for
 fewer: it takes the largest piece left, enumerates the fillings that no other one dominates, closes as many
 bins at once as the counts allow, and drops branches that already waste more than the incumbent lets them.
-The search has a bound of nodes, after which the incumbent stands; it is at most the best-fit solution.
+The search has a bound of work, after which the incumbent stands; it is at most the best-fit solution.
 
 The plan says how many pieces of a length go to which group of equal bins. A piece's place follows from its
 rank among the pieces of its length, which is counted in hashed sub-groups of a length, so a length that a
@@ -212,74 +212,93 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room, least waste first: none takes another piece that is left, and none
-    can be had from another by replacing one of its pieces by smaller ones of no larger sum."""
+class _Work:
+    """What a search may still spend, in sizes looked at."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+    def take(self, n: int) -> bool:
+        self.left -= n + 1
+        return self.left > 0
+
+
+def fillings(counts: dict[int, int], room: int, most: int, work: _Work) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated ways to fill the room, least waste first, and whether these are all: none takes another piece that is
+    left, and none can be had from another by replacing one of its pieces by smaller ones of no larger sum."""
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     found: list[tuple[int, ...]] = []
-    tried = 0
+    whole = True
 
     def go(at: int, left: int, chosen: list[int]) -> None:
-        nonlocal tried
-        if tried > 20 * most or len(found) >= most:
+        nonlocal whole
+        if len(found) >= most or not work.take(len(sizes) - at):
+            whole = False
             return
-        tried += 1
-        spare = [s for s in sizes if s <= left and counts[s] > chosen.count(s)]
-        if not spare:
+        fits = bisect.bisect_left(sizes, -left, key=lambda s: -s)  # sizes from here on fit
+        if all(counts[s] == chosen.count(s) for s in sizes[fits:]):
             found.append(tuple(chosen))
             return
-        for i in range(at, len(sizes)):
+        for i in range(max(at, fits), len(sizes)):
             s = sizes[i]
-            if s <= left and counts[s] > chosen.count(s):
+            if counts[s] > chosen.count(s):
                 go(i, left - s, [*chosen, s])
+                if not whole:
+                    return
 
     go(0, room, [])
 
     def dominated(x: tuple[int, ...], y: tuple[int, ...]) -> bool:
-        """y has, for pieces of x that it lacks, fewer and larger ones: one of y's own is at least the sum of x's own."""
+        """y has, for pieces of x that it lacks, one of its own that is at least their sum."""
         own_x, own_y = list(x), []
         for s in y:
             own_x.remove(s) if s in own_x else own_y.append(s)
         return x != y and len(own_y) == 1 and sum(own_x) <= own_y[0] and bool(own_x)
 
-    kept = [x for x in found if not any(dominated(x, y) for y in found)]
-    return sorted(set(kept), key=lambda x: (room - sum(x), len(x)))
+    found = sorted(set(found), key=lambda x: (room - sum(x), len(x)))
+    return [x for x in found if not any(dominated(x, y) for y in found)], whole
+
 
+def complete_bins(counts: dict[int, int], capacity: int, max_work: int = 20_000_000, max_fillings: int = 50) -> tuple[Plan, dict]:
+    """A plan with as few bins as found, and how it was found (bins, best-fit bins, lower bound, nodes, whether proven).
 
-def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 20_000, max_fillings: int = 50) -> tuple[Plan, dict]:
-    """A plan with as few bins as found, and how it was found (bins, lower bound, nodes, whether proven)."""
+    max_work bounds the search, some seconds of the driver; after it the incumbent stands."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(b for b, _ in best), lower_bound(counts, capacity)
     start = n_best
     total = sum(s * n for s, n in counts.items())
-    nodes, cut_short = 0, False
-    # Depth first, with an explicit stack: (bins so far, waste so far, counts left, plan so far).
-    stack: list[tuple[int, int, dict[int, int], Plan]] = [(0, 0, counts, [])] if n_best > bound else []
+    nodes, cut_short, work = 0, False, _Work(max_work)
+    # Depth first, with an explicit stack: (bins so far, waste so far, counts left, plan so far as a linked list).
+    stack: list[tuple] = [(0, 0, counts, None)] if n_best > bound else []
     while stack and n_best > bound:
         bins, waste, left, plan = stack.pop()
         nodes += 1
-        if nodes > max_nodes:
+        if not work.take(len(left)):
             cut_short = True
             break
         if not left:
             if bins < n_best:
-                best, n_best = plan, bins
+                best, n_best = [], bins
+                while plan:
+                    step, plan = plan
+                    best.append(step)
             continue
-        if bins + lower_bound(left, capacity) >= n_best or waste > (n_best - 1) * capacity - total:
+        # What the incumbent lets a better packing waste; the rest needs its volume at least.
+        if waste > (n_best - 1) * capacity - total:
             continue
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
-        options = fillings(rest, capacity - largest, max_fillings)
-        cut_short |= len(options) >= max_fillings
+        options, whole = fillings(rest, capacity - largest, max_fillings, work)
+        cut_short |= not whole
         for extra in reversed(options):
             pattern = (largest, *extra)
             need = {s: len(list(g)) for s, g in groupby(sorted(pattern))}
             most = min(left[s] // k for s, k in need.items())
             for times in dict.fromkeys((1, most)):
                 after = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
-                stack.append((bins + times, waste + times * (capacity - sum(pattern)), after, [*plan, (times, pattern)]))
+                stack.append((bins + times, waste + times * (capacity - sum(pattern)), after, ((times, pattern), plan)))
             cut_short |= most > 2
     return best, {"bins": n_best, "best_fit_bins": start, "lower_bound": bound, "nodes": nodes, "optimal": n_best == bound or not (cut_short or stack)}
 
@@ -319,11 +338,11 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_nodes: int = 20_000) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_work: int = 20_000_000) -> DataFrame:
     """pieces(id, piece, start, length, ids_crc32, ...) and sequence_id, offset. pieces is read three times, so it should
     be a written table."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    table = place_table(complete_bins(counts, capacity, max_nodes)[0])
+    table = place_table(complete_bins(counts, capacity, max_work)[0])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = share.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
