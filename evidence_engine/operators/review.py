@@ -94,3 +94,17 @@ def append_decisions(requests: DataFrame, latest: DataFrame, last_sequence: int)
     fresh = judged.where("refusal is null").withColumn("sequence", F.lit(last_sequence) + F.row_number().over(order))
     events = fresh.select(F.sha2(F.concat_ws("|", "question_id", F.col("sequence").cast("string"), "action"), 256).alias("event_id"), "sequence", F.col("_head").alias("previous_event_id"), "question_id", "action", "reason")
     return events, judged.where("refusal is not null").select("request_no", "question_id", "refusal")
+
+
+def review_context(candidates: DataFrame, segments: DataFrame, most_frames: int = 8) -> DataFrame:
+    """(question_id, evidence, frames) for candidates(question_id, video_id, relevant_segment_ids): the texts of the known relevant
+    segments, or of the video's first two without any, and their first frames."""
+    named = candidates.select("question_id", F.posexplode("relevant_segment_ids").alias("at", "segment_id")).join(segments.drop("video_id"), "segment_id")
+    first = Window.partitionBy("video_id").orderBy("start_time", "segment_id")
+    two = segments.withColumn("at", F.row_number().over(first) - 1).where(F.col("at") < 2)
+    other = candidates.join(named.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "video_id").join(two, "video_id").drop("video_id")
+    shown = named.unionByName(other.select(named.columns))
+    text = F.concat(F.lit("["), F.col("segment_id"), F.lit("] "), F.format_string("%.1f-%.1fs", F.bround("start_time", 1), F.bround("end_time", 1)), F.lit("\nASR: "), F.coalesce("transcript", F.lit("")), F.lit("\n视觉描述: "), F.coalesce("visual_caption", F.lit("")))
+    frames = F.coalesce(F.transform("keyframes", lambda k: k["path"]), F.array().cast("array<string>"))
+    rows = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", text.alias("t"), frames.alias("f")))).alias("r"))
+    return rows.select("question_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("evidence"), F.slice(F.flatten(F.transform("r", lambda x: x["f"])), 1, most_frames).alias("frames"))

@@ -632,3 +632,25 @@ def split_feasibility(spark, d):
     n = F.regexp_extract("video_id", r"(\d+)", 1).cast("int")
     splits = q.select("video_id").distinct().select("video_id", F.when(n % 20 < 14, "development").when(n % 20 < 17, "validation").otherwise("test").alias("split"))
     return prepare.split_feasibility(q, splits, (*validate.TYPES, "absent"))
+
+
+@query(Q.prompt_texts)
+def prompt_texts(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("audio", "visual", "multimodal"))), (F.col("turn") % 3 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("place"), kind.alias("question_type"), F.col("text").alias("transcript"), F.col("role").alias("visual_caption"))
+    parts = prepare.prompt_sources(rows).select("batch_id", F.from_json("sources", "array<struct<source_id: int, evidence: string>>").alias("s"))
+    return parts.select("batch_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.transform("s", lambda x: x["evidence"]), "|").cast("binary")).alias("md5"))
+
+
+@query(Q.seed_fields)
+def seed_fields(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.array(F.concat(F.col("source"), F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))).alias("relevant_segment_ids"))
+    return prepare.seed_metadata(rows).select("doc_id", "video_id", "answerable", "verification_status")
+
+
+@query(Q.review_contexts)
+def review_contexts(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 7 = 0")
+    asked = docs.select(F.col("doc_id").alias("question_id"), F.col("source").alias("video_id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id").cast("string"))).otherwise(F.array(F.lit("none"))).alias("relevant_segment_ids"))
+    segs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("segment_id"), F.col("source").alias("video_id"), F.col("doc_id").cast("double").alias("start_time"), (F.col("doc_id") + 20.25).alias("end_time"), F.col("text").alias("transcript"), F.col("lang").alias("visual_caption"), F.array(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))).alias("keyframes"))
+    return review.review_context(asked, segs).select("question_id", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"), F.array_join("frames", ",").alias("frames"))

@@ -210,3 +210,10 @@ split_feasibility = """WITH q AS (SELECT 'v' || (doc_id % 200) AS video_id, ['au
     SELECT question_type, count(q.t) AS questions, count(DISTINCT video_id) AS videos, count(DISTINCT video_id) >= 3 AS at_least_three, count(DISTINCT video_id) >= 6 AS at_least_six,
     concat_ws(',', CASE WHEN count(*) FILTER (s = 'development') = 0 THEN 'development' END, CASE WHEN count(*) FILTER (s = 'validation') = 0 THEN 'validation' END, CASE WHEN count(*) FILTER (s = 'test') = 0 THEN 'test' END) AS missing_splits
     FROM k LEFT JOIN q ON q.t = question_type GROUP BY 1"""
+
+prompt_texts = """SELECT conv_id AS batch_id, count(*) AS n, md5(string_agg(substr(CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role ELSE 'ASR: ' || text || chr(10) || '视觉描述: ' || role END, 1, 1800), '|' ORDER BY turn)) AS md5
+    FROM conversations GROUP BY 1"""
+seed_fields = "SELECT doc_id, source AS video_id, true AS answerable, 'generated_candidate' AS verification_status FROM documents"
+review_contexts = """WITH s AS (SELECT doc_id, source, '[' || doc_id || '] ' || printf('%.1f-%.1fs', doc_id::DOUBLE, round_even(doc_id + 20.25, 1)) || chr(10) || 'ASR: ' || text || chr(10) || '视觉描述: ' || lang AS t, doc_id || '.jpg' AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    x AS (SELECT doc_id AS question_id, doc_id AS seg FROM documents WHERE doc_id % 14 = 0 UNION ALL SELECT q.doc_id, s.doc_id FROM documents q JOIN s ON s.source = q.source AND s.n <= 2 WHERE q.doc_id % 7 = 0 AND q.doc_id % 2 <> 0)
+    SELECT question_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY seg)) AS evidence_md5, string_agg(f, ',' ORDER BY seg) AS frames FROM x JOIN s ON s.doc_id = x.seg GROUP BY 1"""

@@ -73,3 +73,8 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     except AnalysisException:
         return None
     return json.loads(row[0]) if row else None
+
+
+def session_manifest(candidates: DataFrame, reviewer_id: str, created_at: str, guide_sha256: str | None = None) -> dict:
+    """What a review session rests on; write_manifest() keeps it from being replaced by another."""
+    return {"schema_version": 1, "created_at": created_at, "status": "formal_human_review_session", "reviewer_id": reviewer_id, "candidate_sha256": content_hash(candidates), "candidate_count": candidates.count(), "annotation_guide_sha256": guide_sha256, "formal_metric_eligible": False}
