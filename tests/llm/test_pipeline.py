@@ -117,7 +117,9 @@ def test_stages_on_hard_and_empty(hard, none, spark, sf, name):
     out = STAGES[name](spark, hard, sf)
     if name != "packing":
         assert out.columns == hard.columns
-    assert 0 < out.count() <= len(hard_texts()) + 40
+    n = out.count()
+    assert n >= len(hard_texts()) if name == "packing" else n <= len(hard_texts())
+    assert n or name == "quality"  # the prose of these rows repeats itself
     assert STAGES[name](spark, none, sf).count() == 0
 
 
