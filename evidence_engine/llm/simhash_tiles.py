@@ -263,7 +263,7 @@ def _copies(similarity: float):
     return run
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = 4096) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = 32768) -> DataFrame:
     """(id, component_id) for every row: rows reachable over links of texts whose similarity is estimated at `similarity` or
     more share the smallest of their ids.
 
