@@ -39,9 +39,9 @@ def _lane(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketches(texts: list[str | None], shingle: int, lanes: int = 1, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def sketches(texts: list[str | None], shingle: int, lanes: int = 1, at_once: int = 1 << 16, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """SimHashes of each text's word shingles, 64 bits a lane (a bit is 1 if it is in over half the hashes), and the
-    numbers of shingles."""
+    numbers of shingles; with distinct, of the set of shingles: repeats count once in both."""
     from xxhash import xxh64_intdigest
 
     out, size = np.zeros((len(texts), lanes), np.uint64), np.zeros(len(texts), np.int64)
@@ -71,6 +71,8 @@ def sketches(texts: list[str | None], shingle: int, lanes: int = 1, at_once: int
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = [0, *ends[:-1].tolist()]
             found = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
+        if distinct:
+            found = list(set(found))
         hashes.extend(found)
         owner.append(i)
         size[i] = len(found)
@@ -190,7 +192,7 @@ LANES = 4
 def _sketch(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in text_slices(batches):
-            lanes, size = sketches(batch.column("text").to_pylist(), shingle, LANES)
+            lanes, size = sketches(batch.column("text").to_pylist(), shingle, LANES, distinct=True)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(lanes[:, k].copy().view(np.int64)) for k in range(LANES)), pa.array(size)], names=["id", *(f"w{k}" for k in range(LANES)), "n"])
 
     return run
@@ -267,7 +269,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(id, component_id) for every row: rows reachable over links of texts whose similarity is estimated at `similarity` or
     more share the smallest of their ids.
 
-    Tiles hold texts of like numbers of shingles: such a similarity needs a ratio of sizes no less, so only tiles of the same
+    The similarity is that of the sets of shingles, so a text and the same text with passages repeated are alike. Tiles hold
+    texts of like numbers of distinct shingles: such a similarity needs a ratio of sizes no less, so only tiles of the same
     and the next level are paired."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lanes = [f"w{k}" for k in range(LANES)]

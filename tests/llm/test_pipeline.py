@@ -112,6 +112,27 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert all((got[i] == got[j]) == (group[i] == group[j]) for i in got for j in got)
 
 
+def shingle_set(text, k=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_copies_against_shingle_sets(spark, sf):
+    rng = random.Random(4)
+    texts = [r["text"] for r in table(spark, sf, "documents").where("n_chars between 400 and 4000").orderBy("doc_id").limit(60).collect()]
+    for i in range(12):
+        words = [f"v{i}x{rng.randrange(10**6)}" for _ in range(150)]
+        whole = " ".join(words)
+        texts += [whole, f"{whole} {whole}", whole + (" " + " ".join(words[:60])) * 3, " ".join([f"other{i}", *words[1:]] * 5)]
+    sets = [shingle_set(t) for t in texts]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    got = dict(rows(simhash_tiles.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile_rows=16)))
+    assert sum(s >= 0.9 for s in like.values()) >= 12 * 6
+    assert [p for p, s in like.items() if s >= 0.9 and got[p[0]] != got[p[1]]] == []
+    partner = {i for p, s in like.items() if s >= 0.5 for i in p}
+    assert [i for i, c in got.items() if i not in partner and sum(x == c for x in got.values()) > 1] == []
+
+
 @pytest.mark.parametrize("name", list(STAGES))
 def test_stages_on_hard_and_empty(hard, none, spark, sf, name):
     out = STAGES[name](spark, hard, sf)
