@@ -36,7 +36,7 @@ from evidence_engine.llm.shared import materialize, text_slices
 
 #: Written for the end of a text; it can't be a token, as tokens have no spaces.
 END = " end"
-CLASSES = 32
+CLASSES = 64
 BUCKETS = 1 << 13
 FEATURES = 4
 
@@ -154,15 +154,16 @@ def _gradient(classes: dict[str, int], weights: np.ndarray | None):
             seen = True
             _, _, c, rows = vocabulary.rows(batch.column("text").to_pylist())
             if weights is None:
-                for k in range(FEATURES):
-                    table += np.bincount(rows[:, k] * CLASSES + c, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
+                table += np.bincount((rows * CLASSES + c[:, None]).ravel(), minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
                 continue
             # One row for each distinct history: its softmax is computed once and counted as often as it occurs.
+            _, first, times = np.unique(rows @ BUCKETS ** np.arange(FEATURES - 1, -1, -1), return_index=True, return_counts=True)
+            rows = rows[first]  # in order of the first feature
             for at in range(0, len(rows), 1 << 14):
                 part = rows[at : at + (1 << 14)]
-                p = _softmax(_logits(weights, part))
+                p = _softmax(_logits(weights, part)) * times[at : at + (1 << 14), None].astype(np.float32)
                 for k in range(FEATURES):
-                    order = np.argsort(part[:, k], kind="stable")
+                    order = np.argsort(part[:, k], kind="stable") if k else slice(None)
                     own = part[order, k]
                     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     table[own[first]] += np.add.reduceat(p[order], first, axis=0)

@@ -432,6 +432,19 @@ def test_lm_is_a_distribution(spark, sf):
     assert all(abs(by_class[c] + 0.5 - (model.class_n[c] + 0.5 * (model.class_v[c] + 1))) < 1e-6 for c in by_class)
 
 
+def test_lm_classes_and_expected_counts(spark, sf):
+    texts = [r["text"] for r in table(spark, sf, "documents").limit(40).collect()]
+    model = maxent_lm.train(table(spark, sf, "documents").select("text"))
+    assert model.weights.shape[1] >= 64 and len(model.classes) == model.weights.shape[1] - 1
+    *_, r = maxent_lm.Vocabulary(model.classes).rows(texts)
+    p = maxent_lm._softmax(maxent_lm._logits(model.weights, r))
+    want = np.zeros((maxent_lm.BUCKETS, maxent_lm.CLASSES))
+    for k in range(maxent_lm.FEATURES):
+        np.add.at(want, r[:, k], p)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert np.allclose(maxent_lm._gathered(df, model.classes, model.weights), want, rtol=1e-3, atol=1e-3)
+
+
 # 10
 
 
