@@ -1,10 +1,12 @@
 """Licence scans by sentence rules. DataFrame functions only.
 
 A text is cut into sentences and single lines, these are normalised (lower case, letters, digits and dots
-of version numbers, single spaces) and looked up among known licence sentences; the identifiers found, in
-the order of the text, are matched against ordered licence rules. A rule is a sequence of identifiers that
-must occur in this order; a rule takes its identifiers away from those after it, so longer rules stand
-before the shorter ones that they contain.
+of version numbers, single spaces) and looked up among known licence sentences. Both kinds are merged by
+their places, counted in characters other than spaces, which no cut takes away; of a line and a sentence
+that overlap the longer counts. The identifiers found, in the order of the text, are matched against ordered
+licence rules. A rule is a sequence of identifiers that must occur in this order; a rule takes its
+identifiers away from those after it, as often as it matches, so longer rules stand before the shorter ones
+that they contain.
 
 Texts without any of the words that every known sentence has one of can't match and skip the cutting.
 
@@ -104,18 +106,44 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     text = F.col(text_col).cast("string")
     base = df.select(*keep, F.when(text.rlike(ANCHOR), text).alias("_text"))
     cut, lines = _units(F.col("_text"))
-    ids = lambda units: F.filter(F.transform(units, lambda u: F.try_element_at(known, normalize(u))), lambda i: i.isNotNull())
-    # A sentence over several lines shows in the first list, one without an end mark in the second; the list
-    # with more is taken whole, so that no place counts twice.
-    found = base.withColumn("_s", ids(cut)).withColumn("_l", ids(lines))
-    found = found.withColumn("sentence_ids", F.coalesce(F.when(F.size("_s") >= F.size("_l"), F.col("_s")).otherwise(F.col("_l")), F.array().cast("array<string>")))
+
+    def placed(units: Column) -> Column:
+        """The known units: where they begin and end, and the identifier."""
+        sized = F.transform(units, lambda u: F.struct(F.length(F.regexp_replace(u, r"\s", "")).alias("n"), F.try_element_at(known, normalize(u)).alias("id")))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,end:int,id:string>>").alias("found"))
+
+        def step(state: Column, u: Column) -> Column:
+            end = state["end"] + u["n"]
+            hit = F.struct(state["end"].alias("at"), end.alias("end"), u["id"].alias("id"))
+            return F.struct(end.alias("end"), F.when(u["id"].isNotNull(), F.concat(state["found"], F.array(hit))).otherwise(state["found"]).alias("found"))
+
+        return F.aggregate(sized, start, step)["found"]
+
+    # A sentence over several lines shows in the first list, one without an end mark in the second.
+    overlap = lambda x, y: (x["at"] < y["end"]) & (y["at"] < x["end"])
+    length = lambda x: x["end"] - x["at"]
+    found = base.withColumn("_s", placed(cut)).withColumn("_l", placed(lines))
+    found = found.withColumn("_own", F.when(F.col("_s") == F.col("_l"), F.slice("_l", 1, 0)).otherwise(F.filter("_l", lambda x: ~F.exists("_s", lambda y: overlap(x, y) & (length(y) >= length(x))))))
+    places = F.array_sort(F.concat(F.filter("_s", lambda y: ~F.exists("_own", lambda x: overlap(x, y))), F.col("_own")))
+    found = found.withColumn("sentence_ids", F.coalesce(F.transform(places, lambda x: x["id"]), F.array().cast("array<string>")))
     marked = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("(?s)^(.*?)" + "(.*?)".join(f"<{i}>" for i in seq) + "(.*)$").alias("match"), F.lit("".join(f"${k}" for k in range(1, len(seq) + 2))).alias("rest")) for name, seq in rules))
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(seq)).alias("n"), F.lit(f"<{seq[0]}>").alias("one"), F.lit("(?s)^(.*?)" + "(.*?)".join(f"<{i}>" for i in seq) + "(.*)$").alias("match"), F.lit("".join(f"${k}" for k in range(1, len(seq) + 2))).alias("rest")) for name, seq in rules))
     start = F.struct(marked.alias("left"), F.array().cast("array<string>").alias("names"))
 
+    def taken(left: Column, rule: Column) -> Column:
+        """What a rule leaves once it no longer matches; one that has ended costs nothing more."""
+        again = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("sentence_ids") / rule["n"]).cast("int")))
+        begin = F.struct(left.alias("left"), F.lit(True).alias("live"))
+
+        def once(state: Column, _: Column) -> Column:
+            hit = state["live"] & F.rlike(state["left"], rule["match"])
+            return F.when(hit, F.struct(F.regexp_replace(state["left"], rule["match"], rule["rest"]).alias("left"), F.lit(True).alias("live"))).otherwise(F.struct(state["left"].alias("left"), F.lit(False).alias("live")))
+
+        return F.when(rule["n"] == 1, F.replace(left, rule["one"], F.lit(""))).otherwise(F.aggregate(again, begin, once)["left"])
+
     def step(state: Column, rule: Column) -> Column:
         hit = F.rlike(state["left"], rule["match"])
-        return F.struct(F.when(hit, F.regexp_replace(state["left"], rule["match"], rule["rest"])).otherwise(state["left"]).alias("left"), F.when(hit, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"]).alias("names"))
+        return F.when(hit, F.struct(taken(state["left"], rule).alias("left"), F.concat(state["names"], F.array(rule["name"])).alias("names"))).otherwise(state)
 
     named = F.when(F.size("sentence_ids") > 0, F.array_distinct(F.aggregate(table, start, step)["names"])).otherwise(F.array().cast("array<string>"))
     return found.select(*keep, F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", named.alias("licenses"))

@@ -461,6 +461,23 @@ def test_licenses(hard, none, spark):
     assert license_rules.scan(hard).count() == len(hard_texts()) and rows(license_rules.scan(none)) == []
 
 
+def test_licenses_in_both_forms_and_repeated(spark):
+    gpl = ("gpl-free", "gpl-warranty", "gpl-see")
+    wrapped = " ".join(license_rules.SENTENCES[i] for i in gpl).replace("you can ", "you can\n").replace("hope that ", "hope that\n")
+    bsd3, bsd2 = ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), ("bsd-grant", "bsd-source", "bsd-binary")
+    notice = lambda seq: "\n".join(license_rules.SENTENCES[i] for i in seq) + "\n\n"
+    cases = [
+        (1, "Notes\nReleased under the MIT License.\n\n" + wrapped, ["mit-line", *gpl], ["MIT", "GPL-3.0-or-later"]),
+        (2, wrapped + "\n\nNotes\nAll rights reserved\nand on", [*gpl, "all-rights"], ["GPL-3.0-or-later", "all-rights-reserved"]),
+        (3, "Licensed under the Apache License, Version 2.0\n(the \"License\");\nyou may not use this file except in compliance with the License.", ["apache-2-head", "apache-2-use"], ["Apache-2.0"]),
+        (4, notice(bsd3) * 2, [*bsd3 * 2], ["BSD-3-Clause"]), (5, notice(bsd3) * 3 + notice(bsd2), [*bsd3 * 3, *bsd2], ["BSD-3-Clause", "BSD-2-Clause"]),
+        (6, "All rights reserved.\n" * 500, ["all-rights"] * 500, ["all-rights-reserved"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in cases], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_sentences"], r["sentence_ids"], r["licenses"]) for r in license_rules.scan(df).collect()}
+    assert got == {i: (len(ids), ids, names) for i, _, ids, names in cases}
+
+
 def test_license_table():
     for s in license_rules.SENTENCES.values():
         assert re.search(license_rules.ANCHOR, s) or "public domain" in s, s
