@@ -589,9 +589,10 @@ def first_occurrences(spark, d):
 
 
 def question_rows(spark, d) -> DataFrame:
+    """The whole benchmark texts, and each again with another end."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), F.col("text").alias("q"))
-    once = b.select(F.concat(F.lit("q"), F.col("ordinal")).alias("question_id"), "ordinal", F.substring("q", 1, 80).alias("question"))
-    again = b.select(F.concat(F.lit("r"), F.col("ordinal")).alias("question_id"), (F.col("ordinal") + 1000).alias("ordinal"), F.concat(F.substring("q", 1, 76), F.lit("??")).alias("question"))
+    once = b.select(F.concat(F.lit("q"), F.col("ordinal")).alias("question_id"), "ordinal", F.col("q").alias("question"))
+    again = b.select(F.concat(F.lit("r"), F.col("ordinal")).alias("question_id"), (F.col("ordinal") + 1000).alias("ordinal"), F.concat(F.expr("left(q, char_length(q) - 4)"), F.lit("??")).alias("question"))
     return once.unionByName(again)
 
 
