@@ -13,7 +13,7 @@ blocks, so memory doesn't grow with the table; each pair keeps k rows a query.
 Edge cases: null ids, null vectors and vectors with null or non-finite components take no part, nor do
 those with a component of 2**28 or more after quantising (their scores might not fit a long). A shorter
 vector counts as padded with zeros. Repeated rows are candidates each; of rows that repeat a query's id the
-least vector asks, and none of them is its own candidate. An empty table gives an empty result.
+least valid vector asks, and none of them is its own candidate. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -223,7 +223,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
     rows and queries have id_col and vector_col; other columns are ignored. block_rows and query_rows bound
     what one task holds at a time (a block of 8192 rows of 64 components takes under 1 MB)."""
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    valid = F.forall("v", lambda x: F.coalesce((x * F.lit(float(scale)) >= 1 - LIMIT) & (x * F.lit(float(scale)) < LIMIT), F.lit(False)))  # as in vectors()
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null").where(valid).groupBy("id").agg(F.min("v").alias("v"))
     n_rows, n_queries = base.count(), asked.count()
     n_i, n_j = max(1, math.ceil(n_rows / block_rows)), max(1, math.ceil(n_queries / query_rows))
     index = base.repartition(n_i).mapInArrow(_index_blocks(scale, block_rows), "i int, ids binary, offsets binary, bits binary, slices binary")

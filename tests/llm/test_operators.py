@@ -70,6 +70,12 @@ def test_top_k_hard(spark):
     assert sorted(rows(bitsliced_topk.top_k(few, few.where("vec_id = 0")))) == brute_top([d for d in data if d[0] in (0, 1, 2)])
 
 
+def test_top_k_repeated_ids_with_an_invalid_vector(spark):
+    data = [(0, [1.0, 2.0]), (0, [None, 1.0]), (50, [-1e30, 0.0]), (50, [0.5, -1.0]), (100, [math.nan, 0.0]), (100, [-math.inf, 1.0]), *((i, [i / 7, 3.0 - i]) for i in range(1, 9))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert sorted(rows(bitsliced_topk.top_k(df, df.where("vec_id % 50 = 0"), 5, 256))) == brute_top(data)
+
+
 # 2
 
 
