@@ -4,9 +4,12 @@ Tokens come from a table of distinct words: the tokenizer drops white space and
 a word has the same ids wherever it stands. Pieces of one length are interchangeable, so the search needs
 only the number of pieces of each length, at most `capacity` numbers however large the corpus is. It packs
 by best fit in descending order first; if that isn't at the lower bound of bins, bin completion looks for
-fewer: it takes the largest piece left, enumerates the fillings that no other one dominates, closes as many
-bins at once as the counts allow, and drops branches that already waste more than the incumbent lets them.
-The search has a bound of work, after which the incumbent stands; it is at most the best-fit solution.
+fewer: it takes the largest piece left, enumerates the fillings around it that no other one dominates, those of
+least waste first (sums that can be reached are known from bit sets, so no dead end is entered), closes as many
+bins at once as the counts allow, then one fewer and so on, and leaves branches that waste more than the incumbent
+lets them. Best fit for what a node leaves may become the new incumbent. The search ends when the bound is met or
+all is tried, which proves the packing, or after `max_nodes` nodes: then the incumbent stands, which may
+be a few bins above the fewest (the problem is strongly NP-hard, and no bound of work makes it otherwise).
 
 The plan says how many pieces of a length go to which group of equal bins. A piece's place follows from its
 rank among the pieces of its length, which is counted in hashed sub-groups of a length, so a length that a
@@ -21,7 +24,8 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -57,18 +61,24 @@ class WordTable:
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _encode(self, words: list[bytes]) -> list[bytes] | None:
         """Words of letters alone: each is one run for the tokenizer, whose last piece is marked as an end of a word, so
-        all are encoded as one text and cut at these marks."""
+        all are encoded as one text and cut at these marks. None if that doesn't give one run a word."""
         if not words:
             return []
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):  # a letter that is several when lowered
-            return [self._one(w) for w in words]
+        if len(cuts) != len(words):
+            return None
         raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
+    def _letters(self, stem: bytes) -> bool:
+        """Whether the tokenizer sees letters alone, once it has normalised the word: marks that it takes off a letter would
+        run on with those behind the word."""
+        found = stem.decode()
+        return found.isalpha() and self.tokenizer.normalizer.normalize_str(found).isalpha()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         words = [t.encode().split() if t else [] for t in texts]
@@ -87,21 +97,29 @@ class WordTable:
         """A word of letters and marks at its end has the ids of the letters and of the marks, as the tokenizer parts them;
         it lowers letters, so ASCII ones are lowered first."""
         parts: dict[bytes, tuple[bytes, bytes]] = {}
-        stems, others = set(), set()
+        plain, other, whole = set(), set(), set()
         for w in words:
             if len(w) > self.max_key:
                 continue
             stem = w.rstrip(_TAIL)
             if stem.isalpha():
                 stem = stem.lower()
-            elif not stem.decode().isalpha():
-                others.add(w)
+                plain.add(stem)
+            elif stem and self._letters(stem):
+                other.add(stem)
+            else:
+                whole.add(w)
                 continue
-            stems.add(stem)
             parts[w] = (stem, w[len(stem) :])
-        todo = list(stems.difference(self.ids))
-        self.ids.update(zip(todo, self._encode(todo), strict=True))
-        for w in others | {t for _, t in parts.values() if t}.difference(self.ids):
+        for stems in (plain, other):
+            todo = list(stems.difference(self.ids))
+            found = self._encode(todo)
+            if found is None:  # a letter that this library doesn't take for one
+                whole.update(w for w, (stem, _) in parts.items() if stem in stems)
+                parts = {w: x for w, x in parts.items() if w not in whole}
+            else:
+                self.ids.update(zip(todo, found, strict=True))
+        for w in whole | {t for _, t in parts.values() if t}.difference(self.ids):
             self.ids[w] = self._one(w)
         for w, (stem, tail) in parts.items():
             self.ids[w] = self.ids[stem] + (self.ids[tail] if tail else b"")
@@ -200,107 +218,124 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: by volume, and by lengths of which no two (with what must join them) fit together."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    sizes = sorted(counts)
-    for k in {0, *(s for s in sizes if 2 * s <= capacity)}:
-        alone = sum(n for s, n in counts.items() if s > capacity - k)
-        half = [(s, n) for s, n in counts.items() if capacity - k >= s and 2 * s > capacity]
-        rest = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
-        room = sum(n for _, n in half) * capacity - sum(s * n for s, n in half)
-        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(rest - room) // capacity)))
-    return best
-
-
-class _Work:
-    """What a search may still spend, in sizes looked at."""
-
-    def __init__(self, left: int) -> None:
-        self.left = left
-
-    def take(self, n: int) -> bool:
-        self.left -= n + 1
-        return self.left > 0
-
-
-def fillings(counts: dict[int, int], room: int, most: int, work: _Work) -> tuple[list[tuple[int, ...]], bool]:
-    """Undominated ways to fill the room, least waste first, and whether these are all: none takes another piece that is
-    left, and none can be had from another by replacing one of its pieces by smaller ones of no larger sum."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    whole = True
-
-    def go(at: int, left: int, chosen: list[int]) -> None:
-        nonlocal whole
-        if len(found) >= most or not work.take(len(sizes) - at):
-            whole = False
-            return
-        fits = bisect.bisect_left(sizes, -left, key=lambda s: -s)  # sizes from here on fit
-        if all(counts[s] == chosen.count(s) for s in sizes[fits:]):
-            found.append(tuple(chosen))
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    many, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    k = np.concatenate([[0], sizes[:half]])
+    top = np.maximum(np.searchsorted(sizes, capacity - k, side="right"), half)
+    low = np.searchsorted(sizes, k)
+    # Lengths over the half are a bin each; what is at least k and no more than the half fits into those of at most capacity - k alone.
+    room = (many[top] - many[half]) * capacity - (volume[top] - volume[half])
+    more = np.maximum(0, -(-(volume[half] - volume[low] - room) // capacity))
+    return int(max(-(-volume[-1] // capacity), (many[-1] - many[half] + more).max()))
+
+
+def fillings(counts: dict[int, int], room: int, least: int = 0) -> Iterator[tuple[int, ...]]:
+    """The ways to fill the room with a sum of at least `least`, least waste first and then those of more and smaller pieces (best
+    fit takes large ones, so this looks elsewhere), that are not seen to be dominated: by one that takes another piece, or a larger one in place of a piece or of two."""
+    sizes = sorted(s for s, n in counts.items() if n and s <= room)
+    if not sizes:
+        if least <= 0:
+            yield ()
+        return
+    mask = (1 << room + 1) - 1
+    reach = [1] * (len(sizes) + 1)  # reach[i]: the sums that sizes[i:] can have, as bits
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, s, more, step = reach[i + 1], sizes[i], min(counts[sizes[i]], room // sizes[i]), 1
+        while more:
+            take = min(step, more)
+            sums |= sums << take * s & mask
+            more -= take
+            step *= 2
+        reach[i] = sums
+
+    def sums_to(i: int, left: int) -> Iterator[tuple[int, ...]]:
+        """Pieces of sizes[i:] with exactly this sum, in ascending order of tuples."""
+        if not left:
+            yield ()
             return
-        for i in range(max(at, fits), len(sizes)):
+        while reach[i] >> left & 1:
             s = sizes[i]
-            if counts[s] > chosen.count(s):
-                go(i, left - s, [*chosen, s])
-                if not whole:
-                    return
-
-    go(0, room, [])
-
-    def dominated(x: tuple[int, ...], y: tuple[int, ...]) -> bool:
-        """y has, for pieces of x that it lacks, one of its own that is at least their sum."""
-        own_x, own_y = list(x), []
-        for s in y:
-            own_x.remove(s) if s in own_x else own_y.append(s)
-        return x != y and len(own_y) == 1 and sum(own_x) <= own_y[0] and bool(own_x)
-
-    found = sorted(set(found), key=lambda x: (room - sum(x), len(x)))
-    return [x for x in found if not any(dominated(x, y) for y in found)], whole
-
-
-def complete_bins(counts: dict[int, int], capacity: int, max_work: int = 20_000_000, max_fillings: int = 50) -> tuple[Plan, dict]:
-    """A plan with as few bins as found, and how it was found (bins, best-fit bins, lower bound, nodes, whether proven).
-
-    max_work bounds the search, some seconds of the driver; after it the incumbent stands."""
+            for k in range(min(counts[s], left // s), 0, -1):
+                if reach[i + 1] >> left - k * s & 1:
+                    for rest in sums_to(i + 1, left - k * s):
+                        yield (s,) * k + rest
+            i += 1
+
+    def dominated(x: tuple[int, ...], waste: int) -> bool:
+        used = Counter(x)
+
+        def left_within(low: int, high: int) -> bool:
+            """Whether a piece of low to high is left."""
+            for s in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)]:
+                if counts[s] > used[s]:
+                    return True
+            return False
+
+        if left_within(1, waste) or waste and any(left_within(s + 1, s + waste) for s in used):
+            return True
+        pairs = {a + b for a in used for b in used if a < b or a == b and used[a] > 1}
+        return any(left_within(p, p + waste) for p in pairs)
+
+    for total in range(room, max(least, 0) - 1, -1):
+        if reach[0] >> total & 1:
+            for x in sums_to(0, total):
+                if not dominated(x, room - total):
+                    yield x
+
+
+def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000, incumbent_every: int = 8) -> tuple[Plan, dict]:
+    """A plan with as few bins as found, and how it was found (bins, best-fit bins, lower bound, nodes, whether proven)."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(b for b, _ in best), lower_bound(counts, capacity)
-    start = n_best
-    total = sum(s * n for s, n in counts.items())
-    nodes, cut_short, work = 0, False, _Work(max_work)
-    # Depth first, with an explicit stack: (bins so far, waste so far, counts left, plan so far as a linked list).
-    stack: list[tuple] = [(0, 0, counts, None)] if n_best > bound else []
-    while stack and n_best > bound:
-        bins, waste, left, plan = stack.pop()
-        nodes += 1
-        if not work.take(len(left)):
-            cut_short = True
-            break
-        if not left:
-            if bins < n_best:
-                best, n_best = [], bins
-                while plan:
-                    step, plan = plan
-                    best.append(step)
-            continue
-        # What the incumbent lets a better packing waste; the rest needs its volume at least.
-        if waste > (n_best - 1) * capacity - total:
-            continue
+    start, nodes = n_best, 0
+
+    def moves(left: dict[int, int], bins: int, after: tuple | None) -> Iterator[tuple[int, tuple[int, ...], tuple]]:
+        """How to close bins around the largest piece: how many, the pattern, and its place in the order of patterns."""
         largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        options, whole = fillings(rest, capacity - largest, max_fillings, work)
-        cut_short |= not whole
-        for extra in reversed(options):
-            pattern = (largest, *extra)
-            need = {s: len(list(g)) for s, g in groupby(sorted(pattern))}
+        rest = left | {largest: left[largest] - 1}
+        room = capacity - largest
+        spare = (n_best - 1 - bins) * capacity - sum(s * n for s, n in left.items())
+        for extra in fillings(rest, room, room - spare):
+            place = (room - sum(extra), extra)
+            if after and place <= after:
+                continue  # the other order of the same bins was tried before
+            need = Counter((largest, *extra))
             most = min(left[s] // k for s, k in need.items())
-            for times in dict.fromkeys((1, most)):
-                after = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
-                stack.append((bins + times, waste + times * (capacity - sum(pattern)), after, ((times, pattern), plan)))
-            cut_short |= most > 2
-    return best, {"bins": n_best, "best_fit_bins": start, "lower_bound": bound, "nodes": nodes, "optimal": n_best == bound or not (cut_short or stack)}
+            for times in range(min(most, spare // place[0]) if place[0] else most, 0, -1):
+                yield times, (largest, *extra), place
+
+    # Depth first. A frame: the moves not yet tried, the bins closed and the pieces left before them.
+    frames: list[tuple] = [(moves(counts, 0, None), 0, counts)] if n_best > bound else []
+    taken: Plan = []
+    while frames and n_best > bound and nodes < max_nodes:
+        options, bins, left = frames[-1]
+        move = next(options, None)
+        if move is None:
+            frames.pop()
+            if taken:
+                taken.pop()
+            continue
+        times, pattern, place = move
+        nodes += 1
+        need = Counter(pattern)
+        after = {s: n - times * need[s] for s, n in left.items() if n > times * need[s]}
+        bins += times
+        taken.append((times, pattern))
+        if bins + (lower_bound(after, capacity) if after else 0) >= n_best:
+            taken.pop()
+            continue
+        if not after or nodes % incumbent_every == 1:
+            rest = best_fit_decreasing(after, capacity)
+            if bins + sum(b for b, _ in rest) < n_best:
+                best, n_best = [*taken, *rest], bins + sum(b for b, _ in rest)
+        if after:
+            frames.append((moves(after, bins, place if max(after) == pattern[0] else None), bins, after))
+        else:
+            taken.pop()
+    return best, {"bins": n_best, "best_fit_bins": start, "lower_bound": bound, "nodes": nodes, "optimal": n_best == bound or not frames}
 
 
 def place_table(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
@@ -338,11 +373,11 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_work: int = 20_000_000) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_nodes: int = 2000) -> DataFrame:
     """pieces(id, piece, start, length, ids_crc32, ...) and sequence_id, offset. pieces is read three times, so it should
     be a written table."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    table = place_table(complete_bins(counts, capacity, max_work)[0])
+    table = place_table(complete_bins(counts, capacity, max_nodes)[0])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = share.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
