@@ -1,9 +1,14 @@
 """WARC archives through a chunked record table.
 
-Writing: one row of text is one record or, for a payload over the chunk size, one segment of it (the
-format's continuation records). Rows are what the executor holds, never whole archives, and every segment
-carries the digest of the payload so far. Archives are gzip text files of Spark's writer, whose line
-separator is the end of a record; they reach any store that Spark reaches.
+Writing: payloads are cut into rows of a chunk table (record, chunk number, at most CHUNK characters) where they are read,
+before anything else handles them. A record of one chunk is one archive record; of several, the first is a response and
+each other a segment of it (the format's continuation records). A segment carries the digest of the payload so far, which
+runs on from chunk to chunk; the last one must meet the digest that was planned with. Archives are gzip text files of
+Spark's writer, whose line separator is the end of a record; they reach any store that Spark reaches. Each begins with a
+warcinfo record; a file is one gzip member, so it is read from its beginning.
+
+Planning: digests, not payloads, meet by digest (those of pages that recur very often by broadcast). Payloads are shuffled
+once, by page and digest, so copies of one page under many ids are spread.
 
 Reading: an archive is one unsplit stream of lines; a parser follows the content lengths and gives one row
 for each record and chunk number, with the bytes and the digest so far; the row of the last chunk has those of
@@ -11,8 +16,9 @@ the whole payload. No payload is held whole.
 
 Edge cases: a null payload is an empty one; equal payloads under the least size are all responses; of equal
 larger ones the row of the largest id is the response (all rows of that id, if ids repeat; a null id counts
-as the smallest); a null url is written as about:blank, control characters and spaces in one as percent
-codes; extra columns are passed by; an empty table gives no archives and an empty result.
+as the smallest); every record has an id of its own, by its place in the archives, whether or not page ids repeat; a
+null url is written as about:blank, control characters and spaces in one as percent codes; extra columns are passed by;
+an empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -21,42 +27,42 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_engine.llm.shared import lookup, materialize
+
 END = "\r\n\r\n"
-CHUNK = 1 << 20
+#: Characters of a chunk, a megabyte at most.
+CHUNK = 1 << 18
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
-
-
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, response_id): response_id is null unless the record revisits another."""
+    """(page_id, url, payload, digest, bytes, response_id, response_url): the response's are null unless the record revisits
+    another."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    shared = base.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("response_id")).where("n > 1").select("digest", "response_id")
-    revisit = F.col("response_id").isNotNull() & (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return base.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("response_id")).alias("response_id"))
+    slim = materialize(base.where(F.col("bytes") >= least_bytes).select("page_id", "url", "digest"), "digests")
+    shared = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "url")).alias("response"))
+    shared = materialize(shared.where("n > 1 and response.page_id is not null"), "shared-digests")
+    again = lookup(slim.select("page_id", "digest"), shared, "digest", "n").where("not page_id <=> response.page_id")
+    again = again.groupBy(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.max("response").alias("response"))
+    found = base.join(again.hint("merge"), base.page_id.eqNullSafe(again.own_id) & (base.digest == again.own_digest), "left")
+    return found.select("page_id", "url", "payload", "digest", "bytes", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"))
 
 
-def segments(payload: bytes, size: int) -> Iterator[bytes]:
-    """Parts of at most size bytes that end between characters; one empty part for no bytes."""
-    at = 0
-    while True:
-        end = min(at + size, len(payload))
-        while end < len(payload) and payload[end] & 0xC0 == 0x80:
-            end -= 1
-        yield payload[at:end]
-        at = end
-        if at >= len(payload):
-            return
+def chunk_rows(records: DataFrame, chunk_chars: int = CHUNK) -> DataFrame:
+    """The rows of plan_records() with (chunk_number, chunks, part) in place of the payload, a row for each chunk in order. A
+    record that revisits another has one chunk without a part."""
+    chunks = F.when(F.col("response_id").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.char_length("payload") / chunk_chars))).cast("int")
+    cut = records.withColumn("chunks", chunks).withColumn("chunk_number", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
+    part = F.when(F.col("response_id").isNull(), F.substring("payload", (F.col("chunk_number") - 1) * chunk_chars + 1, F.lit(chunk_chars)))
+    return cut.select("page_id", "url", "digest", "bytes", "response_id", "response_url", "chunk_number", "chunks", part.alias("part"))
 
 
 def _record(kind: str, rid: str, fields: list[tuple[str, object]], block: str) -> str:
@@ -64,52 +70,72 @@ def _record(kind: str, rid: str, fields: list[tuple[str, object]], block: str) -
     return "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n" + block
 
 
-def _rows(page_id: int | None, url: str | None, payload: str, digest: str, size: int, response_id: int | None, date: str, chunk: int) -> Iterator[str]:
-    rid = record_id(page_id)
-    uri = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
-    named = [("Page-Id", "" if page_id is None else page_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http;msgtype=response")]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n"
-    if response_id is not None:
-        yield _record("revisit", rid, [*named, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(response_id)), ("Refers-To-Page-Id", response_id)], http)
-        return
-    if size <= chunk:
-        yield _record("response", rid, named, http + payload)
-        return
-    running = hashlib.sha1()
-    done = 0
-    for n, part in enumerate(segments(payload.encode(), chunk), 1):
-        running.update(part)
-        done += len(part)
-        own = [("WARC-Segment-Number", n), ("Running-Digest", f"sha1:{running.hexdigest()}")]
-        if n == 1:
-            yield _record("response", rid, [*named, *own], http + part.decode())
-        else:
-            total = [("WARC-Segment-Total-Length", done + len(http.encode()))] if done == size else []
-            yield _record("continuation", f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{n}')}>", [("WARC-Date", date), ("WARC-Segment-Origin-ID", rid), *own, *total], part.decode())
+def _target(url: str | None) -> str:
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
+
+
+class _Writer:
+    """Archive records from chunk rows, which come in order."""
+
+    def __init__(self, date: str, place: str) -> None:
+        self.date, self.place, self.n = date, place, 0
+
+    def _id(self) -> str:
+        self.n += 1
+        return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{self.place}:{self.n}')}>"
 
+    def info(self) -> str:
+        return _record("warcinfo", self._id(), [("WARC-Date", self.date), ("Content-Type", "application/warc-fields")], "format: WARC File Format 1.0\r\n")
 
-def _writer(date: str, chunk: int):
+    def row(self, page_id: int | None, url: str | None, digest: str, size: int, response_id: int | None, response_url: str | None, number: int, chunks: int, part: str | None) -> str:
+        named = [("Page-Id", "" if page_id is None else page_id), ("WARC-Date", self.date), ("WARC-Target-URI", _target(url)), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http;msgtype=response")]
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n"
+        if response_id is not None:
+            return _record("revisit", self._id(), [*named, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _target(response_url)), ("WARC-Refers-To-Date", self.date), ("Refers-To-Page-Id", response_id)], http)
+        if number == 1:
+            self.digest, self.done, self.origin = hashlib.sha1(), 0, self._id()
+        raw = part.encode()
+        self.digest.update(raw)
+        self.done += len(raw)
+        if number == chunks and (self.done, self.digest.hexdigest()) != (size, digest):
+            raise ValueError(f"the chunks of page {page_id} aren't its payload: {self.done} bytes for {size}")
+        if chunks == 1:
+            return _record("response", self.origin, named, http + part)
+        own = [("WARC-Segment-Number", number), ("Running-Digest", f"sha1:{self.digest.hexdigest()}")]
+        if number == 1:
+            return _record("response", self.origin, [*named, *own], http + part)
+        total = [("WARC-Segment-Total-Length", self.done + len(http))] if number == chunks else []
+        return _record("continuation", self._id(), [("WARC-Date", self.date), ("WARC-Segment-Origin-ID", self.origin), *own, *total], part)
+
+
+_CHUNK_COLUMNS = ("page_id", "url", "digest", "bytes", "response_id", "response_url", "chunk_number", "chunks", "part")
+
+
+def _writer(date: str, run_id: str):
     def run(batches: Iterable[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        writer = _Writer(date, f"{run_id}:{TaskContext.get().partitionId()}")
         for batch in batches:
-            out: list[str] = []
+            out: list[str] = [] if writer.n or not batch.num_rows else [writer.info()]
             held = 0
-            cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "bytes", "response_id")]
+            cols = [batch.column(c) for c in _CHUNK_COLUMNS]
             for i in range(batch.num_rows):
-                for row in _rows(*(c[i].as_py() for c in cols), date, chunk):
-                    out.append(row)
-                    held += len(row)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_pydict({"value": out})
-                        out, held = [], 0
+                out.append(writer.row(*(c[i].as_py() for c in cols)))
+                held += len(out[-1])
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_pydict({"value": out})
+                    out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_pydict({"value": out})
 
     return run
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", chunk_bytes: int = CHUNK) -> None:
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", chunk_chars: int = CHUNK) -> None:
     """Writes the rows of plan_records() as archives under path."""
-    records.mapInArrow(_writer(date, chunk_bytes), "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    lines = chunk_rows(records, chunk_chars).mapInArrow(_writer(date, uuid.uuid4().hex), "value string")
+    lines.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class _Parser:
@@ -137,7 +163,9 @@ class _Parser:
             return None
         data = (line + b"\n")[: self.left]
         self.left -= len(data)
-        if self.state == "http":
+        if self.state == "info":
+            pass
+        elif self.state == "http":
             if line == b"\r":
                 self.state = "body"
             elif line.lower().startswith(b"content-length: "):
@@ -148,6 +176,9 @@ class _Parser:
 
     def _open(self) -> dict | None:
         self.left = int(self.head["Content-Length"])
+        if self.head["WARC-Type"] == "warcinfo":
+            self.state = "info"
+            return None if self.left else self._close()
         self.state = "body" if self.head["WARC-Type"] == "continuation" else "http"
         if self.state == "http":
             self.digest, self.total, self.chunk, self.origin, self.http_length = hashlib.sha1(), 0, 0, self.head, 0
@@ -161,8 +192,10 @@ class _Parser:
         if self.with_payload:
             self.parts.append(data)
 
-    def _close(self) -> dict:
-        self.state = "between"
+    def _close(self) -> dict | None:
+        known, self.state = self.state, "between"
+        if known == "info":
+            return None
         self.chunk += 1
         head, kind = self.origin, self.origin["WARC-Type"]
         said = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
