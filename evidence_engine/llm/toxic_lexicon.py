@@ -4,9 +4,12 @@ Folding: compatibility forms and case are unified, invisible characters removed,
 scripts and digits that stand for letters replaced. A text with digits beside letters is matched in two
 readings, with 1 as i and as l. Everything but letters parts words.
 
-The lexicon is learned: of the beginnings of words in texts labelled toxic those are kept that all but never
-begin a word of a text labelled otherwise, each as long as it can be without losing texts. An entry's
-weight is its log likelihood ratio. Of these the ones stay that explain texts which more frequent ones don't. Entries within an
+The lexicon is learned: of the beginnings of words (of 4 to 12 letters; words of 2 or 3 letters whole) in texts labelled
+toxic those are kept that all but never begin a word of a text labelled otherwise, each as long as it can be without losing
+texts. How often they occur doesn't matter as such: an entry needs evidence of 11.5 nats against the other texts, which takes
+some 8 toxic texts where a quarter is toxic. An entry's weight is its log likelihood ratio. Of these the ones stay that
+explain at least 3 texts (or one in 500 of the toxic ones) which more frequent ones don't; what merely comes along with
+toxic words would flag clean texts. A toxic part inside or at the end of a longer word is no entry. Entries within an
 exception phrase don't count.
 
 The score is a logistic function of the weight found and of the weight by length, both as logarithms,
@@ -14,7 +17,7 @@ fitted on the sample that the lexicon was learned from. Learning reads a bounded
 (`max_positive`, `max_negative`), the first in the order of a hash; scoring reads every whole text.
 
 Edge cases: null and empty texts score as texts without a match; null labels and ids are not learned from;
-of several labels of an id the largest counts; without any toxic label nothing is matched and all scores are
+of several labels of an id the largest counts, of several texts of an id the least is learned from; without any toxic label nothing is matched and all scores are
 0; repeated rows score alike; extra columns are passed by.
 """
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from evidence_engine.llm.shared import materialize, text_slices
 
 # Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(zip("абвгдезіјкмнорсԁтухѕӏԛԝαβεηικνορτυχ", "a6brgeзijkmhopcdtyxslqwabenikvoptux", strict=True))
+HOMOGLYPHS = dict(zip("абвгдезіјкмнорсԁтухѕӏԛԝαβεηικνορτυχ", "abbrgeзijkmhopcdtyxslqwabenikvoptux", strict=True))
 # Characters written for letters; 1 is read as i and as l.
 DIGITS = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 # Harmless phrases that may hold an entry.
@@ -78,8 +81,9 @@ def readings(text: str | None) -> list[str]:
 
 
 def beginnings(text: str | None, shortest: int, longest: int) -> set[str]:
+    """Of all words; words too short for one stand whole, with the space behind them."""
     words = {w for r in readings(text) for w in r.split()}
-    return {w[:k] for w in words for k in range(shortest, min(len(w), longest) + 1)}
+    return {w[:k] for w in words for k in range(shortest, min(len(w), longest) + 1)} | {w + " " for w in words if 2 <= len(w) < shortest}
 
 
 @dataclass(frozen=True)
@@ -145,7 +149,11 @@ def _features(lexicon: Lexicon):
     return run
 
 
-def choose_terms(positive: dict[str, int], negative: dict[str, int], n_pos: int, n_neg: int, evidence: float = 11.5) -> dict[str, float]:
+#: Nats that an entry's counts must tell for it.
+EVIDENCE = 11.5
+
+
+def choose_terms(positive: dict[str, int], negative: dict[str, int], n_pos: int, n_neg: int, evidence: float = EVIDENCE) -> dict[str, float]:
     """Entries and weights from the numbers of texts with each beginning of a word."""
 
     def pure(t: str) -> float:
@@ -184,11 +192,10 @@ def covering(hits: list[frozenset[str]], weights: dict[str, float], least: int)
     return out
 
 
-def _entries(weights: dict[str, float]):
+def _entries(weights: dict[str, float], shortest: int, longest: int):
     """The entries of each text, those that begin one of its words."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        longest, shortest = max(map(len, weights)), min(map(len, weights))
         for batch in text_slices(batches):
             yield pa.RecordBatch.from_pydict({"terms": [sorted(t for t in beginnings(x, shortest, longest) if t in weights) for x in batch.column("text").to_pylist()]})
 
@@ -216,22 +223,25 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) ->
         use &= ~bad
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 12000, shortest: int = 4, longest: int = 12, max_terms: int = 20_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 12000, shortest: int = 4, longest: int = 12, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """From docs(doc_id, text) and labels(doc_id, toxic): a lexicon, learned from at most max_positive and max_negative texts."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     marked = marked.join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     picked = marked.where("toxic > 0").orderBy("order", "doc_id").limit(max_positive).unionByName(marked.where("toxic <= 0").orderBy("order", "doc_id").limit(max_negative)).select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    sample = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxic-sample")  # max_positive + max_negative ids at most
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # max_positive + max_negative ids at most
+    sample = materialize(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos:
         return Lexicon({}, exceptions, (-30.0, 0.0, 0.0))
     total = lambda rows: rows.groupBy("term").agg(F.sum("n").alias("n"))
-    positive = {r["term"]: r["n"] for r in total(sample.where("toxic = 1").select("text").mapInArrow(_count(shortest, longest, None), "term string, n long")).where(F.col("n") >= 3).orderBy(F.desc("n"), "term").limit(max_terms).collect()}
-    negative = {r["term"]: r["n"] for r in total(sample.where("toxic = 0").select("text").mapInArrow(_count(shortest, longest, frozenset(positive)), "term string, n long")).collect()}  # max_terms rows at most
+    # No entry has less evidence than its toxic texts alone could give.
+    least = max(3, math.ceil(EVIDENCE / math.log((n_pos + n_neg) / n_pos))) if n_neg else 3
+    positive = {r["term"]: r["n"] for r in total(sample.where("toxic = 1").select("text").mapInArrow(_count(shortest, longest, None), "term string, n long")).where(F.col("n") >= least).collect()}  # of the sample's words
+    negative = {r["term"]: r["n"] for r in total(sample.where("toxic = 0").select("text").mapInArrow(_count(shortest, longest, frozenset(positive)), "term string, n long")).collect()}  # positive's rows at most
     weights = choose_terms(positive, negative, n_pos, n_neg)
     if weights:
-        hits = sample.where("toxic = 1").select("text").mapInArrow(_entries(weights), "terms array<string>").where(F.size("terms") > 0).collect()  # max_positive rows at most
+        hits = sample.where("toxic = 1").select("text").mapInArrow(_entries(weights, shortest, longest), "terms array<string>").where(F.size("terms") > 0).collect()  # max_positive rows at most
         weights = covering([frozenset(r["terms"]) for r in hits], weights, max(3, n_pos // 500))
     lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
     rows = sample.select("text", "toxic").mapInArrow(_features(lexicon), "toxic int, a double, b double").groupBy("toxic", "a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "a", "b").collect()  # the sample's rows at most
