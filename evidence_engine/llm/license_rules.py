@@ -8,7 +8,8 @@ licence rules. A rule is a sequence of identifiers that must occur in this order
 identifiers away from those after it, as often as it matches, so longer rules stand before the shorter ones
 that they contain.
 
-Texts without any of the words that every known sentence has one of can't match and skip the cutting.
+Texts without any of the words that every known sentence has one of can't match and skip the cutting; a table of
+sentences that don't all have one makes every text be cut.
 
 Edge cases: a null or empty text has no sentences; a sentence that stands both as a line and as a sentence
 counts once for each place; repeated rows give repeated rows; null ids are carried.
@@ -16,6 +17,8 @@ counts once for each place; repeated rows give repeated rows; null ids are carri
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,31 @@ SENTENCES = {
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-see": "See the GNU General Public License for more details.",
-    "mpl-2-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "gpl-2-free": "This program is free software;",
+    "gpl-2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl-2-later": "either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2-free": "This library is free software;",
+    "lgpl-2-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl-2-later": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "epl-1-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-2-line": "Licensed under the Eclipse Public License 2.0.",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-event": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-line": "Licensed under the zlib License.",
+    "artistic-2-line": "Licensed under the Artistic License 2.0.",
+    "artistic-2-free": "This is free software, licensed under: The Artistic License 2.0 (GPL Compatible)",
+    "mpl-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl-2-copy-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2-licensed": "Licensed under the Mozilla Public License 2.0.",
     "cc-by-line": "Licensed under CC BY 4.0.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
@@ -62,11 +89,29 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
+    ("AGPL-3.0-or-later", ("agpl-3-free",)),
+    ("AGPL-3.0-only", ("agpl-3-line",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-free", "lgpl-2-terms", "lgpl-2-later")),
+    ("LGPL-2.1-only", ("lgpl-2-line",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("LGPL-3.0-only", ("lgpl-3-line",)),
+    ("GPL-2.0-or-later", ("gpl-2-free", "gpl-2-terms", "gpl-2-later", "gpl-warranty", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl-2-free", "gpl-2-terms", "gpl-2-later")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty", "gpl-see")),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-3.0-only", ("gpl-3-line",)),
     ("GPL-2.0-only", ("gpl-2-line",)),
-    ("MPL-2.0", ("mpl-2-head",)),
+    ("MPL-2.0", ("mpl-head", "mpl-2-copy")),
+    ("MPL-2.0", ("mpl-head", "mpl-2-copy-http")),
+    ("MPL-2.0", ("mpl-2-line",)),
+    ("MPL-2.0", ("mpl-2-licensed",)),
+    ("EPL-1.0", ("epl-1-grant",)),
+    ("EPL-2.0", ("epl-2-grant",)),
+    ("EPL-2.0", ("epl-2-line",)),
+    ("Zlib", ("zlib-asis", "zlib-event", "zlib-grant")),
+    ("Zlib", ("zlib-line",)),
+    ("Artistic-2.0", ("artistic-2-line",)),
+    ("Artistic-2.0", ("artistic-2-free",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-line",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-line",)),
     ("CC-BY-4.0", ("cc-by-line",)),
@@ -76,15 +121,18 @@ RULES = (
     ("all-rights-reserved", ("all-rights",)),
 )
 
-#: Every known sentence has one of these words.
-ANCHOR = "(?i)licen[sc]|permi[st]|redistribut|reserved|copyright|software|program"
+# The line that names a licence by its SPDX identifier, one for each licence that a rule knows.
+_SPDX = dict.fromkeys(name for name, _ in RULES if name != "all-rights-reserved")
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in _SPDX}
+RULES += tuple((name, (f"spdx-{name}",)) for name in _SPDX)
+
+#: Every known sentence has one of these words; for other tables that don't, the sieve is left out.
+ANCHOR = "(?i)licen[sc]|permi[st]|redistribut|reserved|copyright|software|program|mozilla"
 CUT = r"(?<=[.!?;])\s+|\n\s*\n"
 
 
 def normalized(text: str) -> str:
     """What normalize() makes of a text, for the fixed sentences."""
-    import re
-
     return re.sub("[^a-z0-9.]+", " ", text.lower()).strip(" .")
 
 
@@ -104,7 +152,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     sentences, rules = sentences or SENTENCES, RULES if rules is None else rules
     known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (normalized(s), i)))
     text = F.col(text_col).cast("string")
-    base = df.select(*keep, F.when(text.rlike(ANCHOR), text).alias("_text"))
+    base = df.select(*keep, (F.when(text.rlike(ANCHOR), text) if all(re.search(ANCHOR, s) for s in sentences.values()) else text).alias("_text"))
     cut, lines = _units(F.col("_text"))
 
     def placed(units: Column) -> Column:
