@@ -8,8 +8,9 @@ fewer: it takes the largest piece left, enumerates the fillings around it that n
 least waste first (sums that can be reached are known from bit sets, so no dead end is entered), closes as many
 bins at once as the counts allow, then one fewer and so on, and leaves branches that waste more than the incumbent
 lets them. Best fit for what a node leaves may become the new incumbent. The search ends when the bound is met or
-all is tried, which proves the packing, or after `max_nodes` nodes: then the incumbent stands, which may
-be a few bins above the fewest (the problem is strongly NP-hard, and no bound of work makes it otherwise).
+all is tried, which proves the packing, or after `max_work` looks at lengths (some seconds of the driver): then the
+incumbent stands, which may be a few bins above the fewest (the problem is strongly NP-hard, and no bound of
+work makes it otherwise).
 
 The plan says how many pieces of a length go to which group of equal bins. A piece's place follows from its
 rank among the pieces of its length, which is counted in hashed sub-groups of a length, so a length that a
@@ -231,10 +232,28 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-volume[-1] // capacity), (many[-1] - many[half] + more).max()))
 
 
-def fillings(counts: dict[int, int], room: int, least: int = 0) -> Iterator[tuple[int, ...]]:
+class _Spent(Exception):
+    """A search has no work left."""
+
+
+class Work:
+    """What a search may still spend, in lengths looked at."""
+
+    def __init__(self, left: float = float("inf")) -> None:
+        self.left = left
+
+    def spend(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise _Spent
+
+
+def fillings(counts: dict[int, int], room: int, least: int = 0, work: Work | None = None) -> Iterator[tuple[int, ...]]:
     """The ways to fill the room with a sum of at least `least`, least waste first and then those of more and smaller pieces (best
     fit takes large ones, so this looks elsewhere), that are not seen to be dominated: by one that takes another piece, or a larger one in place of a piece or of two."""
     sizes = sorted(s for s, n in counts.items() if n and s <= room)
+    work = work or Work()
+    work.spend(len(counts))
     if not sizes:
         if least <= 0:
             yield ()
@@ -256,6 +275,7 @@ def fillings(counts: dict[int, int], room: int, least: int = 0) -> Iterator[tupl
             yield ()
             return
         while reach[i] >> left & 1:
+            work.spend(1)
             s = sizes[i]
             for k in range(min(counts[s], left // s), 0, -1):
                 if reach[i + 1] >> left - k * s & 1:
@@ -269,12 +289,14 @@ def fillings(counts: dict[int, int], room: int, least: int = 0) -> Iterator[tupl
         def left_within(low: int, high: int) -> bool:
             """Whether a piece of low to high is left."""
             for s in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)]:
+                work.spend(1)
                 if counts[s] > used[s]:
                     return True
             return False
 
         if left_within(1, waste) or waste and any(left_within(s + 1, s + waste) for s in used):
             return True
+        work.spend(len(used) ** 2)
         pairs = {a + b for a in used for b in used if a < b or a == b and used[a] > 1}
         return any(left_within(p, p + waste) for p in pairs)
 
@@ -285,12 +307,12 @@ def fillings(counts: dict[int, int], room: int, least: int = 0) -> Iterator[tupl
                     yield x
 
 
-def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000, incumbent_every: int = 8) -> tuple[Plan, dict]:
+def complete_bins(counts: dict[int, int], capacity: int, max_work: int = 4_000_000, incumbent_every: int = 8) -> tuple[Plan, dict]:
     """A plan with as few bins as found, and how it was found (bins, best-fit bins, lower bound, nodes, whether proven)."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(b for b, _ in best), lower_bound(counts, capacity)
-    start, nodes = n_best, 0
+    start, nodes, work = n_best, 0, Work(max_work)
 
     def moves(left: dict[int, int], bins: int, after: tuple | None) -> Iterator[tuple[int, tuple[int, ...], tuple]]:
         """How to close bins around the largest piece: how many, the pattern, and its place in the order of patterns."""
@@ -298,8 +320,9 @@ def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
         rest = left | {largest: left[largest] - 1}
         room = capacity - largest
         spare = (n_best - 1 - bins) * capacity - sum(s * n for s, n in left.items())
-        for extra in fillings(rest, room, room - spare):
+        for extra in fillings(rest, room, room - spare, work):
             place = (room - sum(extra), extra)
+            work.spend(len(extra) + 1)
             if after and place <= after:
                 continue  # the other order of the same bins was tried before
             need = Counter((largest, *extra))
@@ -310,31 +333,36 @@ def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
     # Depth first. A frame: the moves not yet tried, the bins closed and the pieces left before them.
     frames: list[tuple] = [(moves(counts, 0, None), 0, counts)] if n_best > bound else []
     taken: Plan = []
-    while frames and n_best > bound and nodes < max_nodes:
-        options, bins, left = frames[-1]
-        move = next(options, None)
-        if move is None:
-            frames.pop()
-            if taken:
+    try:
+        while frames and n_best > bound:
+            options, bins, left = frames[-1]
+            move = next(options, None)
+            if move is None:
+                frames.pop()
+                if taken:
+                    taken.pop()
+                continue
+            times, pattern, place = move
+            nodes += 1
+            work.spend(len(left) + 500)
+            need = Counter(pattern)
+            after = {s: n - times * need[s] for s, n in left.items() if n > times * need[s]}
+            bins += times
+            taken.append((times, pattern))
+            if bins + (lower_bound(after, capacity) if after else 0) >= n_best:
+                taken.pop()
+                continue
+            if not after or nodes % incumbent_every == 1:
+                work.spend(4 * len(after))
+                rest = best_fit_decreasing(after, capacity)
+                if bins + sum(b for b, _ in rest) < n_best:
+                    best, n_best = [*taken, *rest], bins + sum(b for b, _ in rest)
+            if after:
+                frames.append((moves(after, bins, place if max(after) == pattern[0] else None), bins, after))
+            else:
                 taken.pop()
-            continue
-        times, pattern, place = move
-        nodes += 1
-        need = Counter(pattern)
-        after = {s: n - times * need[s] for s, n in left.items() if n > times * need[s]}
-        bins += times
-        taken.append((times, pattern))
-        if bins + (lower_bound(after, capacity) if after else 0) >= n_best:
-            taken.pop()
-            continue
-        if not after or nodes % incumbent_every == 1:
-            rest = best_fit_decreasing(after, capacity)
-            if bins + sum(b for b, _ in rest) < n_best:
-                best, n_best = [*taken, *rest], bins + sum(b for b, _ in rest)
-        if after:
-            frames.append((moves(after, bins, place if max(after) == pattern[0] else None), bins, after))
-        else:
-            taken.pop()
+    except _Spent:
+        pass
     return best, {"bins": n_best, "best_fit_bins": start, "lower_bound": bound, "nodes": nodes, "optimal": n_best == bound or not frames}
 
 
@@ -373,11 +401,11 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_nodes: int = 2000) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_work: int = 4_000_000) -> DataFrame:
     """pieces(id, piece, start, length, ids_crc32, ...) and sequence_id, offset. pieces is read three times, so it should
     be a written table."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    table = place_table(complete_bins(counts, capacity, max_nodes)[0])
+    table = place_table(complete_bins(counts, capacity, max_work)[0])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = share.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
