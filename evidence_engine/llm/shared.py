@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+_folders: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,25 +19,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only if unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; the warehouse, which they share too, if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="evidence_engine_"))
-    return _own_dir[0]
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM knows them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/evidence_engine/{label}-{uuid.uuid4().hex}"
+    """A path in a folder of this application, which is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/_intermediate/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        fs, path = _path(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to a path of fresh_path()."""
+    fs, found = _path(spark, path)
+    fs.delete(found, True)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and the path."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    return written(df, label)[0]
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, most: int = 1024, least: int = 1000) -> DataFrame:
+    """rows joined to found, which has one row for each key and, in `weight`, how many rows have it.
+
+    The `most` heaviest keys (of over `least` rows) are broadcast, so their rows stay where they are; the others, none of
+    which has over one in `most` of all rows, meet by key. Both inputs are read twice and should be written tables."""
+    hot = [r[0] for r in found.where(F.col(weight) > least).orderBy(F.desc(weight)).select(key).limit(most).collect()]
+    values = found.drop(weight)
+    if not hot:
+        return rows.join(values, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(values.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(values.where(is_hot)), key))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], max_rows: int = 1024, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -76,22 +108,33 @@ def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[other], nodes[label[other]]
 
 
-def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, label: str, few: int = 1 << 16) -> DataFrame:
     """edges(u long, v long) -> (node, root): each node with a smaller one in its component, and the least of all.
 
-    Alternates the large-star and small-star steps; least neighbours are aggregates, so a node with very many
-    neighbours is never gathered in one task, and each round is written to the shared folder."""
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
+    Alternates the large-star and small-star steps until nothing changes. Least neighbours are aggregates and, beyond a
+    `few` links, reach the links by lookup(), so a node with very many neighbours is not gathered in one task. Each round
+    is written to the shared folder, and the one before is deleted."""
+    spark = edges.sparkSession
+    now, path = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
     before = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = materialize(small, f"{label}-round")
+    while True:
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
-    raise RuntimeError(f"components of {label} not settled in {max_rounds} rounds")
+        before, old = after, [path]
+
+        def to_least(links: DataFrame, least) -> DataFrame:
+            """links with m, the least neighbour of u or (if smaller) what `least` makes of it."""
+            found = links.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+            if after[0] <= few:
+                return links.join(found.drop("n"), "u")
+            (links, a), (found, b) = written(links, f"{label}-links"), written(found, f"{label}-least")
+            old.extend((a, b))
+            return lookup(links, found, "u", "n")
+
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = to_least(both, F.least(F.col("u"), F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        now, path = written(to_least(large, F.min("v")).select(F.explode(pair).alias("e")).select("e.*").where("u <> v").distinct(), f"{label}-round")
+        for done in old:
+            forget(spark, done)

@@ -8,7 +8,10 @@ counts, every pair, so no link is lost. A pair of tiles returns not its links bu
 at most a row for each fingerprint, and the forests are joined by distributed components.
 
 Exact copies share one fingerprint and are compared once. A pair of tiles is a unit of bounded work; tiles
-of one count are dealt by hash, so none grows beyond its bound.
+of one count are dealt by hash, so none grows beyond its bound. A tile holds a quarter of a million rows of a few
+machine words and is sent to the tiles that it meets, so what is shuffled stays far below the texts until a
+count has very many tiles. Rows meet their class by lookup(): a fingerprint or a class with a large share of all
+rows is not gathered in one task.
 
 Edge cases: a null text is an empty one; texts without words have fingerprint zero and are linked like any
 other; null ids never name a component, and a component of null ids only has a null one; repeated rows are
@@ -21,10 +24,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.shared import connected_components, materialize, spanning_stars, text_slices
+from evidence_engine.llm.shared import connected_components, lookup, materialize, spanning_stars, text_slices
 
 SEED = 42
 
@@ -143,45 +146,64 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, piece: int = 51
 def _links(radius: int):
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = (np.asarray(batch.column(c)[r].values, dtype=np.int64).view(np.uint64) for c in ("fps_a", "fps_b"))
-                u, v = tile_links(a, None if batch.column("same")[r].as_py() else b, radius)
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.asarray(x.values, dtype=np.int64).view(np.uint64) if x.is_valid else None for x in (a, b))
+                u, v = tile_links(a, b, radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
-def linked_fingerprints(fps: DataFrame, radius: int = 4, tile_rows: int = 16384) -> DataFrame:
-    """fps(fp long, distinct) -> (u, v): links of distance <= radius, as spanning forests of pairs of tiles."""
-    spark = fps.sparkSession
-    held = fps.select("fp", F.bit_count("fp").cast("int").alias("pc"))
-    n_of = {r["pc"]: -(-r["n"] // tile_rows) for r in held.groupBy("pc").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
+TILE_ROWS = 1 << 18
+
+
+def tile_pairs(held: DataFrame, level: str, value: Column, reach: int, tile_rows: int) -> DataFrame | None:
+    """held, whose `level` is an int -> (a, b): the values of each two tiles whose levels differ by at most reach, as
+    arrays; b is null for a tile with itself. None if held is empty."""
+    n_of = {r[level]: -(-r["n"] // tile_rows) for r in held.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each level
     if not n_of:
-        return spark.createDataFrame([], "u long, v long")
+        return None
     n_tiles = F.create_map(*(F.lit(x) for kv in sorted(n_of.items()) for x in kv))
-    tiles = held.withColumn("sub", F.pmod(F.xxhash64("fp"), n_tiles[F.col("pc")]).cast("int")).groupBy("pc", "sub").agg(F.collect_list("fp").alias("fps"))
-    cells = sum(n * n_of.get(p + d, 0) for p, n in n_of.items() for d in range(radius + 1))
-    parts = min(cells, 4096)
+    dealt = held.select(F.col(level).alias("x"), F.pmod("key", n_tiles[F.col(level)]).cast("int").alias("i"), value.alias("value")).repartition(min(4096, sum(n_of.values())), "x", "i")
+    tiles = dealt.groupBy("x", "i").agg(F.collect_list("value").alias("rows"))
+    # The tiles that each one meets: those of the same level that come after it, and all of the next levels.
+    meets = {x: [(x + d, j) for d in range(reach + 1) for j in range(n_of.get(x + d, 0))] for x in n_of}
+    cells = [(x, i, y, j) for x, n in n_of.items() for i in range(n) for y, j in meets[x] if (x, i) < (y, j)]
+    alone = tiles.select(F.col("rows").alias("a"), F.lit(None).cast(tiles.schema["rows"].dataType).alias("b"))
+    if not cells:
+        return alone
+    y = F.explode(F.filter(F.sequence(F.col("x"), F.col("x") + reach), lambda v: v.isin(*n_of))).alias("y")
+    first = tiles.select("*", y).select("*", F.explode(F.sequence(F.lit(0), (n_tiles[F.col("y")] - 1).cast("int"))).alias("j")).where("x < y or i < j")
+    x = F.explode(F.filter(F.sequence(F.col("x") - reach, F.col("x")), lambda v: v.isin(*n_of))).alias("w")
+    second = tiles.select("*", x).select("*", F.explode(F.sequence(F.lit(0), (n_tiles[F.col("w")] - 1).cast("int"))).alias("k")).where("w < x or k < i")
+    parts = min(4096, len(cells))
+    left = first.select("x", "i", "y", "j", F.col("rows").alias("a")).repartition(parts, "x", "i", "y", "j")
+    right = second.select(F.col("w").alias("x"), F.col("k").alias("i"), F.col("x").alias("y"), F.col("i").alias("j"), F.col("rows").alias("b")).repartition(parts, "x", "i", "y", "j")
+    return alone.unionByName(left.hint("merge").join(right, ["x", "i", "y", "j"]).select("a", "b"))
+
+
+def linked_fingerprints(fps: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """fps(fp long, distinct) -> (u, v): links of distance <= radius, as spanning forests of pairs of tiles."""
+    held = fps.select("fp", F.bit_count("fp").cast("int").alias("pc"), F.xxhash64("fp").alias("key"))
+    pairs = tile_pairs(held, "pc", F.col("fp"), radius, tile_rows)
+    return pairs.mapInArrow(_links(radius), "u long, v long") if pairs else fps.sparkSession.createDataFrame([], "u long, v long")
 
-    def side(name: str, sign: int) -> DataFrame:
-        other = (tiles.withColumn("pc_o", F.explode(F.array(*(F.col("pc") + F.lit(sign * d) for d in range(radius + 1))))).where(F.col("pc_o").isin(*n_of)).withColumn("sub_o", F.explode(F.sequence(F.lit(0), n_tiles[F.col("pc_o")] - 1))))
-        a, b = ("", "_o") if sign > 0 else ("_o", "")
-        cell = other.select(*(F.col(f"{c}{s}").cast("int").alias(f"{c}_{k}") for k, s in (("a", a), ("b", b)) for c in ("pc", "sub")), F.col("fps").alias(f"fps_{name}"))
-        return cell.where("pc_a < pc_b or sub_a <= sub_b").repartition(parts, "pc_a", "sub_a", "pc_b", "sub_b")
 
-    pairs = side("a", 1).join(side("b", -1), ["pc_a", "sub_a", "pc_b", "sub_b"])
-    return pairs.select("fps_a", "fps_b", F.expr("pc_a = pc_b and sub_a = sub_b").alias("same")).mapInArrow(_links(radius), "u long, v long")
+def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str, label: str) -> DataFrame:
+    """rows with the component_id of their node. nodes(node, least, n): its smallest id and its number of rows."""
+    roots = connected_components(links, label).withColumnRenamed("node", node)
+    held = materialize(nodes.select(node, "least", "n").join(roots, node, "left").withColumn("root", F.coalesce("root", node)), f"{label}-named")
+    classes = materialize(held.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), f"{label}-classes")
+    found = materialize(lookup(held.select(node, "root", "n"), classes, "root", "nodes").select(node, "component_id", "n"), f"{label}-components")
+    return lookup(rows, found, node, "n")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile_rows: int = 16384) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, fp long, component_id) for every row: rows reachable over links share the smallest of their ids."""
     rows = materialize(fingerprint_rows(df, id_col, text_col, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(linked_fingerprints(fps, radius, tile_rows), "simhash")
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    return _named(rows, fps, linked_fingerprints(fps, radius, tile_rows), "fp", "simhash").select("id", "fp", "component_id")
 
 
 # Near copies by similarity. A similarity of 0.8 leaves a distance of about a sixth of the bits, which 64 bits
@@ -252,20 +274,23 @@ def copy_links(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, simila
 
 
 def _copies(similarity: float):
+    def tile(rows) -> dict[str, np.ndarray] | None:
+        if not rows.is_valid:
+            return None
+        found = {f: np.asarray(rows.values.field(f), dtype=np.int64) for f in ("node", "n", *(f"w{k}" for k in range(LANES)))}
+        return found | {f"w{k}": found[f"w{k}"].view(np.uint64) for k in range(LANES)}
+
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = ({f: np.asarray(batch.column(c)[r].values.field(f), dtype=np.int64) for f in ("node", "n", *(f"w{k}" for k in range(LANES)))} for c in ("rows_a", "rows_b"))
-                for side in (a, b):
-                    side.update({f"w{k}": side[f"w{k}"].view(np.uint64) for k in range(LANES)})
-                u, v = copy_links(a, None if batch.column("same")[r].as_py() else b, similarity)
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                u, v = copy_links(tile(a), tile(b), similarity)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = 32768) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, component_id) for every row: rows reachable over links of texts whose similarity is estimated at `similarity` or
     more share the smallest of their ids.
 
@@ -275,40 +300,26 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lanes = [f"w{k}" for k in range(LANES)]
     rows = materialize(slim.mapInArrow(_sketch(shingle), "id long, " + "".join(f"{w} long, " for w in lanes) + "n long").withColumn("node", F.xxhash64(*lanes, "n")), "sketches")
-    nodes = materialize(rows.groupBy("node", "n", *lanes).agg(F.min("id").alias("least")), "distinct-sketches")
-    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("int")
-    held = nodes.select("node", "n", *lanes, level.alias("level"))
-    n_of = {r["level"]: -(-r["c"] // tile_rows) for r in held.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row for each factor of sizes
-    if not n_of:
+    nodes = materialize(rows.groupBy("node", *lanes, F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-sketches")
+    level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("int")
+    held = nodes.select("node", F.col("size").alias("n"), *lanes, level.alias("level"), F.col("node").alias("key"))
+    pairs = tile_pairs(held, "level", F.struct("node", "n", *lanes), 1, tile_rows)
+    if not pairs:
         return rows.select("id", F.col("id").alias("component_id"))
-    tiles_of = F.create_map(*(F.lit(x) for kv in sorted(n_of.items()) for x in kv))
-    tiles = held.withColumn("sub", F.pmod("node", tiles_of[F.col("level")]).cast("int")).groupBy("level", "sub").agg(F.collect_list(F.struct("node", "n", *lanes)).alias("rows"))
-    parts = min(4096, sum(n * (n + n_of.get(p + 1, 0)) for p, n in n_of.items()))
-
-    def side(name: str, sign: int) -> DataFrame:
-        other = tiles.withColumn("level_o", F.explode(F.array(F.col("level"), F.col("level") + sign))).where(F.col("level_o").isin(*n_of)).withColumn("sub_o", F.explode(F.sequence(F.lit(0), (tiles_of[F.col("level_o")] - 1).cast("int"))))
-        a, b = ("", "_o") if sign > 0 else ("_o", "")
-        cell = other.select(*(F.col(f"{c}{e}").cast("int").alias(f"{c}_{k}") for k, e in (("a", a), ("b", b)) for c in ("level", "sub")), F.col("rows").alias(f"rows_{name}"))
-        return cell.where("level_a < level_b or sub_a <= sub_b").repartition(parts, "level_a", "sub_a", "level_b", "sub_b")
-
-    pairs = side("a", 1).join(side("b", -1), ["level_a", "sub_a", "level_b", "sub_b"])
-    links = pairs.select("rows_a", "rows_b", F.expr("level_a = level_b and sub_a = sub_b").alias("same")).mapInArrow(_copies(similarity), "u long, v long")
-    roots = connected_components(links, "near-copies")
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")
+    return _named(rows.select("id", "node"), nodes, pairs.mapInArrow(_copies(similarity), "u long, v long"), "node", "near-copies").select("id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """df, all columns, with one row of each component: that of the smallest id; rows with a null id stay.
 
     found has (id, component_id), by default of near_duplicates(). If ids repeat, one row of each such id stays; its
-    texts may differ."""
+    texts may differ. The texts are shuffled once, at every size: how many ids stay is not bounded, so they are never
+    broadcast."""
     if found is None:
         found = near_duplicates(df, id_col, text_col, shingle, radius)
     first = materialize(found.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "representatives")
-    chosen = df.join(first.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    chosen = df.join(first.select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_semi")
     if first.where("n > 1").limit(1).count():
-        again = first.where("n > 1").select(F.col("id").alias(id_col))
+        again = first.where("n > 1").select(F.col("id").alias(id_col)).hint("merge")
         chosen = chosen.join(again, id_col, "left_anti").unionByName(df.join(again, id_col, "left_semi").dropDuplicates([id_col]))
     return chosen.select(df.columns).unionByName(df.where(F.col(id_col).isNull()))
