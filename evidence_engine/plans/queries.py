@@ -66,7 +66,8 @@ def vector_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    return vector_rows(spark, d).where("segment_id < 20").withColumnRenamed("segment_id", "query_id")
+    """The stated queries of searches: ids divisible by 50, against all rows."""
+    return vector_rows(spark, d).where("segment_id % 50 = 0").withColumnRenamed("segment_id", "query_id")
 
 
 def membership(rows: DataFrame) -> DataFrame:
@@ -245,7 +246,7 @@ def frame_dedupe(spark, d):
     return frames.select("path", "video_id", F.array_join("segment_ids", ",").alias("segment_ids"))
 
 
-def frame_topk(spark, d, aggregation, depth=50):
+def frame_topk(spark, d, aggregation, depth=200):
     rows = vector_rows(spark, d)
     return rounded(retrieval.frame_search(rows.withColumnRenamed("segment_id", "frame_id"), membership(rows), vector_queries(spark, d), 20, aggregation, depth))
 
@@ -270,7 +271,7 @@ def routes(spark, d, names=("lexical", "dense", "overlap")) -> DataFrame:
     q = questions(spark, d)
     made = {
         "lexical": lambda: bm25(spark, d),
-        "dense": lambda: retrieval.dense_search(vector_rows(spark, d).where("segment_id < 500"), vector_rows(spark, d).where("segment_id < 40").withColumnRenamed("segment_id", "query_id"), 20),
+        "dense": lambda: retrieval.dense_search(vector_rows(spark, d), vector_rows(spark, d).withColumnRenamed("segment_id", "query_id").join(q.select("query_id"), "query_id", "left_semi"), 20),
         "overlap": lambda: retrieval.overlap_search(documents(spark, d), q, 20),
     }
     out = None
@@ -437,7 +438,7 @@ def supplement_totals(spark, d):
 def supplement_choice(spark, d):
     rows = vector_rows(spark, d).select("segment_id", vectors.sign_hash(F.col("vector")).alias("phash"))
     known = rows.where("segment_id % 100 = 0").agg(F.array_sort(F.collect_list("phash")).alias("known"))  # the known frames of one video
-    trials = rows.where("segment_id % 100 <> 0 and segment_id < 500").select(F.expr("segment_id div 100").alias("video_id"), F.expr("(segment_id % 100) div 5").alias("ordinal"), (F.col("segment_id") % 5).alias("attempt"), F.col("segment_id").cast("double").alias("timestamp"), "phash")
+    trials = rows.where("segment_id % 100 <> 0").select(F.expr("segment_id div 100").alias("video_id"), F.expr("(segment_id % 100) div 5").alias("ordinal"), (F.col("segment_id") % 5).alias("attempt"), F.col("segment_id").cast("double").alias("timestamp"), "phash")
     out = audit.choose_supplement_frames(trials.crossJoin(F.broadcast(known)), 20)
     return out.select("video_id", "ordinal", "attempt", "timestamp", F.col("nearest").cast("long").alias("nearest"), "near_duplicate")
 
@@ -492,7 +493,7 @@ def review_chain_violations(spark, d):
     e = decisions(spark, d)
     log = event_hours(spark, d).select("event_id", F.col("event_id").alias("line_no"))
     lines = e.join(log, "event_id").select("line_no", "event_id", (F.col("line_no") + F.when(F.col("line_no") % 501 == 0, 1).otherwise(0)).alias("sequence"), F.when(F.col("event_id") % 97 == 0, F.lit(-1)).otherwise(F.col("previous_event_id")).alias("previous_event_id"), "question_id", F.when(F.col("event_id") % 53 == 0, "other").otherwise(F.col("action")).alias("action"))
-    known = table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("question_id"))
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id"))
     return review.log_violations(lines, known).groupBy("rule", "message").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
 
 
@@ -651,7 +652,7 @@ def seed_fields(spark, d):
 
 @query(Q.review_contexts)
 def review_contexts(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 7 = 0")
+    docs = table(spark, d, "documents")
     asked = docs.select(F.col("doc_id").alias("question_id"), F.col("source").alias("video_id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id").cast("string"))).otherwise(F.array(F.lit("none"))).alias("relevant_segment_ids"))
     segs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("segment_id"), F.col("source").alias("video_id"), F.col("doc_id").cast("double").alias("start_time"), (F.col("doc_id") + 20.25).alias("end_time"), F.col("text").alias("transcript"), F.col("lang").alias("visual_caption"), F.array(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))).alias("keyframes"))
     return review.review_context(asked, segs).select("question_id", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"), F.array_join("frames", ",").alias("frames"))

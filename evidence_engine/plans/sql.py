@@ -75,7 +75,7 @@ lexical_bm25_topk = f"WITH {bm25()} SELECT query_id, segment_id, round(score, 6)
 overlap_topk = f"WITH {bm25()}, {OVERLAP} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM ov"
 token_overlap_rerank = f"""WITH {bm25()} SELECT b.query_id, b.segment_id, round(len(list_intersect(list_distinct(q.toks), {tok('documents.text')}))::DOUBLE / len(list_distinct(q.toks)), 6) AS rerank_score
     FROM bm b JOIN q ON q.item_id = b.query_id JOIN documents ON documents.doc_id = b.segment_id"""
-dense_topk = f"WITH {dense('x', 'true', 'vec_id < 20', 20)} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM x"
+dense_topk = f"WITH {dense('x', 'true', 'vec_id % 50 = 0', 20)} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM x"
 l2_normalize_check = "SELECT vec_id AS segment_id, round(3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS before, 1.0::DOUBLE AS after FROM embeddings"
 MEMBERS = "m AS (SELECT vec_id, vec_id // 4 AS segment_id FROM embeddings UNION ALL SELECT vec_id, vec_id // 4 + 1 FROM embeddings WHERE vec_id % 4 = 3)"
 MEANS = f"""{MEMBERS}, flat AS (SELECT segment_id, pos, avg(x::DOUBLE) AS x FROM (SELECT m.segment_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM m JOIN embeddings USING (vec_id)) GROUP BY 1, 2),
@@ -87,7 +87,7 @@ mean_parity = f"""WITH {MEANS}, a AS (SELECT segment_id, list(x / n ORDER BY pos
 frame_dedupe = f"""WITH {WINDOWS}, {FRAMES} SELECT fr.path, fr.video_id, string_agg(w.segment_id, ',' ORDER BY w.i) AS segment_ids FROM fr JOIN w ON fr.video_id = w.video_id AND fr.timestamp >= w.start_time AND fr.timestamp < w.end_time GROUP BY 1, 2"""
 
 
-def frame_ctes(aggregate: str, name: str = "ag", depth: int = 50, prefix: str = "") -> str:
+def frame_ctes(aggregate: str, name: str = "ag", depth: int = 200, prefix: str = "") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, segment_id, score, best_frame, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, segment_id) AS rank FROM (
     SELECT query_id, segment_id, {aggregate}(score) AS score, arg_min(vec_id, n) AS best_frame FROM (
         SELECT f.query_id, m.segment_id, f.segment_id AS vec_id, f.score, row_number() OVER (PARTITION BY f.query_id, m.segment_id ORDER BY round(f.score, 9) DESC, f.segment_id) AS n
@@ -95,14 +95,14 @@ def frame_ctes(aggregate: str, name: str = "ag", depth: int = 50, prefix: str =
 
 
 def frame_topk(aggregate: str) -> str:
-    return f"WITH {dense('x', 'true', 'vec_id < 20', 50)}, {MEMBERS}, {frame_ctes(aggregate)} SELECT query_id, segment_id, round(score, 6) AS score, best_frame, rank FROM ag"
+    return f"WITH {dense('x', 'true', 'vec_id % 50 = 0', 200)}, {MEMBERS}, {frame_ctes(aggregate)} SELECT query_id, segment_id, round(score, 6) AS score, best_frame, rank FROM ag"
 
 
-granularity_parity = f"""WITH {dense('x', 'true', 'vec_id < 20', 50)}, {MEMBERS}, {frame_ctes('max', 'a')}, {frame_ctes('avg', 'b')},
+granularity_parity = f"""WITH {dense('x', 'true', 'vec_id % 50 = 0', 200)}, {MEMBERS}, {frame_ctes('max', 'a')}, {frame_ctes('avg', 'b')},
     la AS (SELECT query_id, list(segment_id ORDER BY rank) AS l FROM a WHERE rank <= 10 GROUP BY 1), lb AS (SELECT query_id, list(segment_id ORDER BY rank) AS r FROM b WHERE rank <= 10 GROUP BY 1)
     SELECT query_id, l[1] = r[1] AS same_top1, l = r AS same_order, list_sort(l) = list_sort(r) AS same_set FROM la JOIN lb USING (query_id)"""
 
-ROUTES = f"{bm25()}, {OVERLAP}, {dense('dn', 'vec_id < 500', 'vec_id < 40', 20)}"
+ROUTES = f"{bm25()}, {OVERLAP}, {dense('dn', 'true', 'vec_id IN (SELECT item_id FROM benchmark)', 20)}"
 UNION = """h AS (SELECT query_id, 'lexical' AS route, rank AS pos, segment_id, rank FROM bm UNION ALL SELECT query_id, 'dense', rank, segment_id, rank FROM dn UNION ALL SELECT query_id, 'overlap', rank, segment_id, rank FROM ov)"""
 
 
@@ -170,7 +170,7 @@ near_dup_frames = f"""WITH {SIGNS}, n AS (SELECT vec_id // 25 AS video_id, vec_i
 exact_duplicates = "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1"
 reuse_counts = "SELECT sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS reused, count(*) AS contents, max(n) AS most FROM (SELECT count(*) AS n FROM documents GROUP BY text)"
 histogram = f"WITH {COUNTED} SELECT n_frames, count(*) AS segments FROM c GROUP BY 1"
-supplement_choice = f"""WITH {SIGNS}, k AS (SELECT b AS kb FROM sg WHERE vec_id % 100 = 0), t AS (SELECT vec_id, min(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> kb[i] THEN 1 ELSE 0 END)))::BIGINT AS nearest FROM sg CROSS JOIN k WHERE vec_id % 100 <> 0 AND vec_id < 500 GROUP BY 1),
+supplement_choice = f"""WITH {SIGNS}, k AS (SELECT b AS kb FROM sg WHERE vec_id % 100 = 0), t AS (SELECT vec_id, min(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> kb[i] THEN 1 ELSE 0 END)))::BIGINT AS nearest FROM sg CROSS JOIN k WHERE vec_id % 100 <> 0 GROUP BY 1),
     r AS (SELECT vec_id // 100 AS video_id, (vec_id % 100) // 5 AS ordinal, vec_id % 5 AS attempt, vec_id::DOUBLE AS timestamp, nearest FROM t)
     SELECT video_id, ordinal, attempt, timestamp, nearest, nearest <= 20 AS near_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY video_id, ordinal ORDER BY nearest > 20 DESC, CASE WHEN nearest > 20 THEN attempt ELSE -1 END, nearest DESC, attempt) AS n FROM r) WHERE n = 1"""
 
@@ -184,7 +184,7 @@ next_question = f"""WITH {DECISIONS}, o AS (SELECT c_custkey AS id, c_mktsegment
     SELECT * FROM (SELECT id AS question_id FROM o WHERE t = 'BUILDING' ORDER BY id <= 100, id LIMIT 1) UNION ALL SELECT * FROM (SELECT id FROM o ORDER BY id <= 1000000000, id LIMIT 1) UNION ALL SELECT * FROM (SELECT id FROM o WHERE NOT a ORDER BY id <= 20, id LIMIT 1)"""
 review_chain_violations = f"""WITH {DECISIONS}, l AS (SELECT event_id AS line_no, event_id, event_id + CASE WHEN event_id % 501 = 0 THEN 1 ELSE 0 END AS sequence, CASE WHEN event_id % 97 = 0 THEN -1 ELSE previous_event_id END AS prev, question_id, CASE WHEN event_id % 53 = 0 THEN 'other' ELSE action END AS action FROM dec),
     k AS (SELECT a.*, b.sequence AS before, lag(a.event_id) OVER (PARTITION BY a.question_id ORDER BY a.line_no) AS expected FROM l a LEFT JOIN l b ON b.line_no + 1 = a.line_no),
-    v AS (SELECT line_no, 2 AS rule, 'non-monotonic sequence' AS message FROM k WHERE sequence <> coalesce(before, 0) + 1 UNION ALL SELECT line_no, 3, 'unknown question' FROM k WHERE question_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 100)
+    v AS (SELECT line_no, 2 AS rule, 'non-monotonic sequence' AS message FROM k WHERE sequence <> coalesce(before, 0) + 1 UNION ALL SELECT line_no, 3, 'unknown question' FROM k WHERE question_id NOT IN (SELECT c_custkey FROM customer)
     UNION ALL SELECT line_no, 4, 'broken question revision chain' FROM k WHERE prev IS DISTINCT FROM expected UNION ALL SELECT line_no, 5, 'invalid action' FROM k WHERE action = 'other')
     SELECT rule, message, count(*) AS n, min(line_no) AS first FROM v GROUP BY 1, 2"""
 
@@ -215,5 +215,5 @@ prompt_texts = """SELECT conv_id AS batch_id, count(*) AS n, md5(string_agg(subs
     FROM conversations GROUP BY 1"""
 seed_fields = "SELECT doc_id, source AS video_id, true AS answerable, 'generated_candidate' AS verification_status FROM documents"
 review_contexts = """WITH s AS (SELECT doc_id, source, '[' || doc_id || '] ' || printf('%.1f-%.1fs', doc_id::DOUBLE, round_even(doc_id + 20.25, 1)) || chr(10) || 'ASR: ' || text || chr(10) || '视觉描述: ' || lang AS t, doc_id || '.jpg' AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
-    x AS (SELECT doc_id AS question_id, doc_id AS seg FROM documents WHERE doc_id % 14 = 0 UNION ALL SELECT q.doc_id, s.doc_id FROM documents q JOIN s ON s.source = q.source AND s.n <= 2 WHERE q.doc_id % 7 = 0 AND q.doc_id % 2 <> 0)
+    x AS (SELECT doc_id AS question_id, doc_id AS seg FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT q.doc_id, s.doc_id FROM documents q JOIN s ON s.source = q.source AND s.n <= 2 WHERE q.doc_id % 2 <> 0)
     SELECT question_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY seg)) AS evidence_md5, string_agg(f, ',' ORDER BY seg) AS frames FROM x JOIN s ON s.doc_id = x.seg GROUP BY 1"""
