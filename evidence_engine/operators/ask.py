@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,13 +71,22 @@ class Pipeline:
     rerank_top_k: int = 3
     rrf_k: int = 60
     minimum_rerank_score: float = 0.20
+    allow_abstention: bool = True
     route_top_k: dict[str, int] = field(default_factory=dict)
     segments: DataFrame | None = None
 
+    @classmethod
+    def configured(cls, settings: Mapping[str, Any], retrievers: list[Retriever], **more) -> Pipeline:
+        """A pipeline of config.settings(); routes by name: lexical, dense, vision."""
+        of = {"lexical": "sparse_top_k", "dense": "text_top_k", "vision": "vision_top_k"}
+        k = {r.name: settings[f"retrieval.{of[r.name]}"] for r in retrievers if r.name in of}
+        own = {x: settings[f"retrieval.{x}"] for x in ("fusion_top_k", "rerank_top_k", "rrf_k")} | {x: settings[f"generation.{x}"] for x in ("minimum_rerank_score", "allow_abstention")}
+        return cls(retrievers, route_top_k=k, **(own | more))
+
     def __post_init__(self) -> None:
         if not self.retrievers:
             raise ValueError("at least one retriever is required")
-        if min(self.recall_top_k, self.fusion_top_k, self.rerank_top_k, self.rrf_k) <= 0:
+        if min(self.recall_top_k, self.fusion_top_k, self.rerank_top_k, self.rrf_k, *self.route_top_k.values()) <= 0:
             raise ValueError("the k values must be positive")
 
     def build(self, segments: DataFrame) -> Pipeline:
@@ -93,6 +102,8 @@ class Pipeline:
 
     def warmup(self, query: str = "video content") -> None:
         segments = self._built()
+        if segments.limit(1).count() == 0:
+            raise ValueError("no segments to search")
         queries = segments.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
         for r in self.retrievers:
             r.search(queries, segments, 1).count()
@@ -115,12 +126,14 @@ class Pipeline:
         return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= self.rerank_top_k)
 
     def ask_batch(self, queries: DataFrame) -> DataFrame:
-        """(query_id, answer, abstained, evidence): a row for every question, whatever it finds."""
+        """(query_id, answer, abstained, evidence): a row for every question, whatever it finds. Without abstention, questions
+        with any evidence are answered by their best."""
         best = self.evidence(queries)
         item = F.struct("place", "segment_id", "video_id", "start_time", "end_time", "transcript", "visual_caption", "fused_score", "rerank_score")
         found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))  # rerank_top_k items each
         first = F.col("evidence")[0]
-        sure = F.coalesce(first["rerank_score"] >= self.minimum_rerank_score, F.lit(False))
+        enough = first["rerank_score"] >= self.minimum_rerank_score if self.allow_abstention else first.isNotNull()
+        sure = F.coalesce(enough, F.lit(False))
         none = F.slice("evidence", 1, 0)
         told = self.generator(*(first[c] for c in ("segment_id", "start_time", "end_time", "transcript", "visual_caption")))
         out = queries.select("query_id", "query").join(found, "query_id", "left")

@@ -326,13 +326,63 @@ def test_media_hash(spark):
 def test_config(tmp_path):
     from evidence_engine.config import load_config
 
+    models = "[models]\n" + "".join(f'{m} = "m"\n' for m in ("text_embedding", "reranker", "vision_language", "clip", "whisper"))
     p = tmp_path / "c.toml"
-    p.write_text('[models]\ntext = "m"\n[retrieval]\nrrf_k = 10\n')
+    p.write_text(models + "[retrieval]\nrrf_k = 10\nsparse_top_k = 7\n[segmentation]\nduration_seconds = 30\n[generation]\nallow_abstention = false\n")
     c = load_config(p)
-    assert c.retrieval.rrf_k == 10 and c.segmentation.window_seconds == 20.0
-    p.write_text("[retrieval]\n")
+    assert c["retrieval.rrf_k"] == 10 and c["segmentation.duration_seconds"] == 30.0 and c["segmentation.overlap_seconds"] == 5.0
+    made = ask.Pipeline.configured(c, [ask.Lexical()], reranker=ask.overlap_reranker)
+    assert made.rrf_k == 10 and made.route_top_k == {"lexical": 7} and not made.allow_abstention and made.rerank_top_k == 3
+    for text, message in (("[retrieval]\n", "models.clip is needed"), (models + "[retrieval]\nrrf_k = 0\n", "positive"), (models + "[retrieval]\nrrf_k = 1.5\n", "another kind"), (models + "[retrieval]\nrrf_k = true\n", "another kind"), (models + "[other]\na = 1\n", "other.a is unknown"), (models + "[segmentation]\noverlap_seconds = 20\n", "longer"), ("models = 1\n", "unknown")):
+        p.write_text(text)
+        with pytest.raises(ValueError, match=message):
+            load_config(p)
+
+
+def test_no_abstention(spark):
+    sure = ask.Pipeline([ask.Lexical()], minimum_rerank_score=2.0, allow_abstention=False).build(ask.demo_segments(spark))
+    assert not sure.ask("ranking of evidence")["abstained"] and sure.ask("zzz")["abstained"]
     with pytest.raises(ValueError):
-        load_config(p)
+        ask.Pipeline([ask.Lexical()], route_top_k={"lexical": 0})
+    with pytest.raises(ValueError, match="no segments"):
+        ask.Pipeline([ask.Lexical()]).build(ask.demo_segments(spark).limit(0)).warmup()
+
+
+def test_index(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from evidence_engine.sources import index
+
+    segments = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "segment_id long, vector array<double>")
+    calls = []
+
+    def encode(rows):
+        calls.append(1)
+        return rows.select("segment_id", "vector")
+
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        index.load_index(spark, path)
+    first = index.build_index(segments, encode, path, "m")
+    assert first.where("segment_id = 3").first()["raw_norm"] == pytest.approx(10**0.5)
+    index.build_index(segments, encode, path, "m")
+    assert len(calls) == 1
+    more = segments.union(spark.createDataFrame([(9, [1.0, 1.0])], segments.schema))
+    assert index.build_index(more, encode, path, "m").count() == 5  # a subset will do
+    assert index.build_index(more, encode, path, "m", force=True).count() == 6 and len(calls) == 2
+    for args, message in (((segments, "m"), "no segment has"), ((more, "other"), "index of m")):
+        with pytest.raises(ValueError, match=message):
+            index.load_index(spark, path, *args)
+    spark.createDataFrame([(7, 1.0, [1.0, 0.0])], "segment_id long, raw_norm double, vector array<double>").write.mode("append").parquet(f"{path}/vectors")
+    with pytest.raises(ValueError, match="manifest"):
+        index.load_index(spark, path)
+    with pytest.raises(ValueError, match="no segments"):
+        index.build_index(segments.limit(0), encode, path, "m")
+    for n, bad in enumerate(([0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0], [], None)):
+        with pytest.raises(PySparkException, match="not a vector"):
+            index.save_index(spark.createDataFrame([(1, bad)], segments.schema), str(tmp_path / f"bad{n}"), "m")
+    with pytest.raises(ValueError, match="not an index"):
+        index.save_index(segments.union(segments), str(tmp_path / "twice"), "m")
 
 
 def test_streams(spark, sf, tmp_path):
