@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import blank, strip, without_space
@@ -49,12 +49,14 @@ def violations(questions: DataFrame, segments: DataFrame, require_splits: bool =
     split = F.when(verified, F.col("split"))
     group = F.when(split.isNotNull() & ~blank(F.col("paraphrase_group_id")), F.col("paraphrase_group_id"))
 
-    def first_split(key: Column) -> Column:
-        return F.first(split, ignorenulls=True).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
+    # Lines without a key get one of their own, so they don't meet in one task; keys are folded before they are joined.
+    own = lambda key: F.struct(key.alias("k"), F.when(key.isNull(), F.col("line")).alias("line"))
     qid = strip(F.coalesce("question_id", F.lit("")))
-    ends = segments.groupBy("video_id").agg(F.max("end_time").alias("_video_end"))
-    q = whole.withColumn("_nth", F.row_number().over(Window.partitionBy(qid).orderBy("line"))).withColumn("_video_split", first_split(F.col("video_id"))).withColumn("_group_split", F.when(group.isNotNull(), first_split(group))).join(ends, "video_id", "left")
+    q = whole.select("*", own(F.when(qid != "", qid)).alias("_qid"), own(F.col("video_id")).alias("_video"), own(group).alias("_group"), split.alias("_split"))
+    ends = segments.where("video_id is not null").groupBy(F.struct(F.col("video_id").alias("k"), F.lit(None).cast(q.schema["line"].dataType).alias("line")).alias("_video")).agg(F.max("end_time").alias("_video_end"))
+    for key, name, value in (("_qid", "_first", F.min("line")), ("_video", "_video_split", F.min_by("_split", F.when(F.col("_split").isNotNull(), F.col("line")))), ("_group", "_group_split", F.min_by("_split", F.when(F.col("_split").isNotNull(), F.col("line"))))):
+        q = q.join(q.where(F.col(f"{key}.k").isNotNull()).groupBy(key).agg(value.alias(name)), key, "left")
+    q = q.join(ends, "_video", "left")
     named = q.select("line", F.col("video_id").alias("_v"), F.col("evidence_start").alias("_s"), F.col("evidence_end").alias("_e"), F.posexplode("relevant_segment_ids").alias("_at", "segment_id"))
     met = named.join(segments.withColumnRenamed("video_id", "_sv"), "segment_id", "left")
     frames = F.coalesce(F.transform("keyframes", lambda k: F.round(k["timestamp"].cast("double"), 3)), F.array().cast("array<double>"))
@@ -84,7 +86,7 @@ def violations(questions: DataFrame, segments: DataFrame, require_splits: bool =
     each = lambda col, text: F.transform(F.coalesce(col, none("string")), lambda i: F.concat(F.lit(text), i))
     in_domain = lambda c, domain: F.coalesce(F.col(c).isin(*domain), F.lit(False))
     rules: list[tuple[Column, Column]] = [
-        ((qid == "") | (F.col("_nth") > 1), m("duplicate or empty question_id")),
+        ((qid == "") | yes(F.col("line") > F.col("_first")), m("duplicate or empty question_id")),
         (~in_domain("question_type", TYPES), m("unsupported question_type")),
         (~in_domain("verification_status", STATUSES), m("unsupported verification_status")),
         (verified & blank(F.col("annotation_source")), m("verified item requires annotation_source")),
@@ -122,7 +124,10 @@ def violations(questions: DataFrame, segments: DataFrame, require_splits: bool =
         (verified & answerable & (F.col("question_type") == "ocr") & ~valid_ocr, m("verified OCR item requires OCR text and frame timestamps")),
         (verified & answerable & (F.col("question_type") == "multimodal") & (sum((v.cast("int") for v in (valid_asr, valid_visual, valid_ocr)), F.lit(0)) < 2), m("verified multimodal item requires at least two valid modality sources")),
     ]
-    found = F.flatten(F.array(*(F.when(yes(c), F.transform(msgs, lambda t, n=n: F.struct(F.lit(n).alias("rule"), t.alias("message")))).otherwise(F.array().cast("array<struct<rule:int,message:string>>")) for n, (c, msgs) in enumerate(rules, 2))))
+    def numbered(n: int, msgs: Column) -> Column:
+        return F.transform(msgs, lambda t: F.struct(F.lit(n).alias("rule"), t.alias("message")))
+
+    found = F.flatten(F.array(*(F.when(yes(c), numbered(n, msgs)).otherwise(F.array().cast("array<struct<rule:int,message:string>>")) for n, (c, msgs) in enumerate(rules, 2))))
     return missing.unionByName(q.select("line", F.explode(found).alias("v")).select("line", "v.rule", "v.message"))
 
 

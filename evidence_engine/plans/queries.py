@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidence_engine.functions import text, vectors
 from evidence_engine.operators import ask, audit, evaluate, prepare, retrieval, review, segment, validate
 from evidence_engine.plans import sql as Q
+from evidence_engine.sources import index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,6 +218,14 @@ def dense_topk(spark, d):
     return rounded(retrieval.dense_search(vector_rows(spark, d), vector_queries(spark, d), 20))
 
 
+@query(Q.dense_topk)
+def index_roundtrip(spark, d):
+    """The dense search over an index that was written, checked and read again, for the rows it says it has."""
+    rows = vector_rows(spark, d)
+    made = index.build_index(rows, lambda segments: segments.select("segment_id", "vector"), index.scratch(spark, "index"), "given")
+    return rounded(retrieval.dense_search(made.select("segment_id", "vector"), vector_queries(spark, d), 20))
+
+
 @query(Q.l2_normalize_check)
 def l2_normalize_check(spark, d):
     v = F.col("vector")
@@ -500,36 +509,38 @@ def review_chain_violations(spark, d):
 # Constraints.
 
 
-@query(Q.validate_enums)
+def breaking(spark, d, *rules: int) -> DataFrame:
+    return question_violations(spark, d).where(F.col("rule").isin(*rules))
+
+
+@query(Q.breaking(3, 4))
 def validate_enums(spark, d):
-    o = table(spark, d, "orders")
-    return o.where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return breaking(spark, d, 3, 4)
 
 
-@query(Q.validate_fk)
+@query(Q.breaking(19, 20))
 def validate_fk(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id", "left_anti").select("doc_id")
+    return breaking(spark, d, 19, 20)
 
 
-@query(Q.validate_unique)
+@query(Q.breaking(2))
 def validate_unique(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("first", "n")
+    return breaking(spark, d, 2)
 
 
-@query(Q.split_leakage)
+@query(Q.breaking(11, 12))
 def split_leakage(spark, d):
-    from pyspark.sql import Window
-
-    split = F.when(F.col("doc_id") % 7 < 5, "development").when(F.col("doc_id") % 7 < 6, "validation").otherwise("test")
-    rows = table(spark, d, "documents").select("doc_id", "source", split.alias("split"))
-    first = F.first("split").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("first_split", first).where("split <> first_split").groupBy("source", "first_split").agg(F.count(F.lit(1)).alias("leaks"))
+    return breaking(spark, d, 11, 12)
 
 
 @query(Q.type_imbalance)
 def type_imbalance(spark, d):
-    n = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(n.agg((F.max("n") / F.sum("n")).alias("share"), (F.max("n") / F.sum("n") > 0.7).alias("imbalanced")))
+    return question_summary(spark, d).where("kind = 'warning'")
+
+
+@query(Q.left_anti)
+def left_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query(Q.category_counts)
@@ -545,20 +556,58 @@ def range_coverage(spark, d):
     return df.select("id", F.array_join(validate.range_problems(F.col("ranges"), F.lit(20.0)), "; ").alias("problems"))
 
 
-@query()
-def question_violations(spark, d):
-    """The rules over a set made of documents: each question names its document, and one in five breaks a rule."""
+def question_lines(spark, d) -> DataFrame:
+    """(line, raw): a question for each document. Of each forty, ids 1 to 31 mod 40 break a rule or two, the others none."""
     docs = documents(spark, d)
-    segs = docs.select(F.col("segment_id").cast("string").alias("segment_id"), "video_id", F.lit(0.0).alias("start_time"), F.lit(20.0).alias("end_time"), F.col("text").alias("transcript"), F.array(F.struct(F.lit(5.0).alias("timestamp"))).alias("keyframes"))
     i = F.col("segment_id")
-    raw = F.to_json(F.struct(
-        F.when(i % 5 == 0, F.lit("same")).otherwise(i.cast("string")).alias("question_id"), F.lit("what is said?").alias("question"), F.lit("a").alias("answer"), F.array(F.lit("a")).alias("answer_aliases"),
-        F.lit("audio").alias("question_type"), F.col("video_id"), F.array((i + F.when(i % 50 == 7, 10**9).otherwise(0)).cast("string")).alias("relevant_segment_ids"), F.lit(1.0).alias("evidence_start"),
-        F.lit(8.0).alias("evidence_end"), F.lit(True).alias("answerable"), F.when(i % 11 == 0, "unsure").otherwise("generated_candidate").alias("verification_status"), F.lit("model").alias("annotation_source"),
-    ))
-    lines = docs.select((i + 1).alias("line"), raw.alias("raw"))
-    found = validate.violations(validate.parse_questions(lines), segs)
-    return found.select("line", "rule", F.regexp_replace("message", r"\d+", "N").alias("message"))
+    m, text_id, none = i % 40, i.cast("string"), F.lit(None)
+    pick = lambda cases, other: F.coalesce(*(F.when(m.isin(*at), value) for at, value in cases), other)
+    verified = m.isin(5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 25, 28, 29, 30, 31, 32, 33)
+    kinds = pick([((3,), F.lit("smell")), ((30,), F.lit("visual")), ((31,), F.lit("ocr")), ((32,), F.lit("multimodal"))], F.lit("audio"))
+    asr = F.when(verified & ~m.isin(28, 30, 31), F.struct(F.lit("said:").alias("quote"), F.array(text_id).alias("segment_ids"), F.lit(True).alias("human_verified")))
+    unanswerable = m.isin(20, 27, 29)
+    own = {
+        "question_id": pick([((1,), F.lit(" ")), ((2,), F.lit("same"))], text_id),
+        "question": F.when(m != 0, "what is said?"),
+        "answer": F.when(m == 17, "").otherwise("a"),
+        "answer_aliases": pick([((18,), F.array(F.lit("a"), F.lit(" "))), ((19,), F.array(F.lit("a"), F.lit("a")))], F.array(F.lit("a"))),
+        "question_type": kinds,
+        "video_id": pick([((13,), F.concat(F.lit("v"), i - 1))], F.concat(F.lit("v"), i)),
+        "relevant_segment_ids": pick([((21, 27, 29), F.array().cast("array<string>")), ((22,), F.array(F.concat(F.lit("x"), text_id))), ((23,), F.array((i - 1).cast("string")))], F.array(text_id)),
+        "evidence_start": pick([((24,), F.lit(9.0)), ((26,), F.lit(30.0))], F.lit(1.0)),
+        "evidence_end": pick([((25, 26), F.lit(40.0))], F.lit(8.0)),
+        "answerable": ~unanswerable,
+        "verification_status": F.when(m == 4, "unsure").when(verified, "verified").otherwise("generated_candidate"),
+        "annotation_source": F.when(m == 5, "").when(m == 6, "model").otherwise("human_review"),
+        "reviewer_id": F.when(m != 7, "r"),
+        "reviewed_at": F.when(m == 8, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00+08:00"),
+        "review_event_id": F.when(m != 9, "e"),
+        "split": F.when(m == 10, "train").when(m.isin(12, 14), "development").when(m.isin(13, 15), "test"),
+        "paraphrase_group_id": F.when(m.isin(14, 15), F.concat(F.lit("g"), F.expr("segment_id div 40"))),
+        "modality_evidence": F.when(verified & (m != 28), F.struct(asr.alias("asr"), none.cast("struct<frame_timestamps: array<double>>").alias("visual"))),
+    }
+    empty = F.when(unanswerable & (m != 27), F.lit("null")).otherwise(F.lit("1.0"))
+    raw = F.to_json(F.struct(*(v.alias(k) for k, v in own.items())))
+    # Unanswerable questions (but those of 27) have a null interval, which must be there.
+    raw = F.when(empty == "null", F.replace(F.replace(raw, F.lit('"evidence_start":1.0'), F.lit('"evidence_start":null')), F.lit('"evidence_end":8.0'), F.lit('"evidence_end":null'))).otherwise(raw)
+    return docs.select((i + 1).alias("line"), raw.alias("raw"))
+
+
+def question_segments(spark, d) -> DataFrame:
+    i = F.col("segment_id")
+    return documents(spark, d).select(i.cast("string").alias("segment_id"), F.concat(F.lit("v"), F.when(i % 40 == 13, i - 1).otherwise(i)).alias("video_id"), F.lit(0.0).alias("start_time"), F.lit(20.0).alias("end_time"), F.concat(F.lit("said: "), F.coalesce("text", F.lit(""))).alias("transcript"), F.array(F.struct(F.lit(5.0).alias("timestamp"))).alias("keyframes"))
+
+
+@query(Q.question_violations)
+def question_violations(spark, d):
+    found = validate.violations(validate.parse_questions(question_lines(spark, d)), question_segments(spark, d))
+    return found.select("line", F.col("rule").cast("long").alias("rule"), F.regexp_replace("message", r"\d+", "N").alias("message"))
+
+
+@query(Q.question_summary)
+def question_summary(spark, d):
+    counts = validate.summary(validate.parse_questions(question_lines(spark, d)))
+    return counts.unionByName(validate.warnings(counts).select(F.lit("warning").alias("kind"), F.col("warning").alias("value"), F.lit(1).cast("long").alias("n")))
 
 
 # Preparation.

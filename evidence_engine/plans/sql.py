@@ -188,12 +188,60 @@ review_chain_violations = f"""WITH {DECISIONS}, l AS (SELECT event_id AS line_no
     UNION ALL SELECT line_no, 4, 'broken question revision chain' FROM k WHERE prev IS DISTINCT FROM expected UNION ALL SELECT line_no, 5, 'invalid action' FROM k WHERE action = 'other')
     SELECT rule, message, count(*) AS n, min(line_no) AS first FROM v GROUP BY 1, 2"""
 
-validate_enums = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1"
-validate_fk = "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)"
-validate_unique = "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1"
-split_leakage = """WITH s AS (SELECT source, doc_id, CASE WHEN doc_id % 7 < 5 THEN 'development' WHEN doc_id % 7 < 6 THEN 'validation' ELSE 'test' END AS split FROM documents), f AS (SELECT *, first_value(split) OVER (PARTITION BY source ORDER BY doc_id) AS first_split FROM s)
-    SELECT source, first_split, count(*) AS leaks FROM f WHERE split <> first_split GROUP BY 1, 2"""
-type_imbalance = "SELECT round(max(n)::DOUBLE / sum(n), 6) AS share, max(n)::DOUBLE / sum(n) > 0.7 AS imbalanced FROM (SELECT count(*) AS n FROM documents GROUP BY lang)"
+# One row for each rule that question i breaks: condition, rule, message.
+BROKEN = [
+    ("m = 0", 1, "missing fields question"),
+    ("m = 1 OR m = 2 AND i > (SELECT min(i) FROM qs WHERE m = 2)", 2, "duplicate or empty question_id"),
+    ("m = 3", 3, "unsupported question_type"),
+    ("m = 4", 4, "unsupported verification_status"),
+    ("m = 5", 5, "verified item requires annotation_source"),
+    ("m IN (5, 6)", 6, "verified item annotation_source must be human_review"),
+    ("m = 7", 7, "verified item requires reviewer_id"),
+    ("m = 8", 8, "verified item requires timezone-aware reviewed_at"),
+    ("m = 9", 9, "verified item requires append-only review_event_id"),
+    ("m = 10", 10, "invalid split"),
+    ("m = 13 AND before", 11, "video leaks across splits"),
+    ("m = 15 AND before", 12, "paraphrase group leaks across splits"),
+    ("m = 17", 15, "answerable item requires answer"),
+    ("m = 18", 16, "answer_aliases must be a list of non-empty strings"),
+    ("m = 19", 16, "answer_aliases must not contain duplicates"),
+    ("m = 17", 16, "answer_aliases must include the canonical answer"),
+    ("m = 20", 17, "unanswerable item must not contain relevant segments"),
+    ("m = 21", 18, "answerable item requires relevant segments"),
+    ("m = 22", 19, "unknown segment xN"),
+    ("m = 23 AND NOT before", 19, "unknown segment N"),
+    ("m = 23 AND before", 20, "segment of another video N"),
+    ("m = 24", 21, "invalid evidence interval"),
+    ("m = 25", 22, "evidence interval exceeds actual video duration"),
+    ("m = 26", 23, "no overlap with the evidence interval: N"),
+    ("m = 27", 24, "unanswerable evidence interval must be null"),
+    ("m = 28", 25, "verified item requires modality_evidence object"),
+    ("m = 29", 26, "unanswerable item must not claim supporting modality evidence"),
+    ("m = 29", 27, "verified unanswerable item requires a valid unanswerable_reason"),
+    ("m = 29", 28, "verified unanswerable item requires checked_time_ranges"),
+    ("m = 28", 29, "verified audio item requires ASR quote and segment_ids"),
+    ("m = 30", 30, "verified visual item requires frame timestamps"),
+    ("m = 31", 31, "verified OCR item requires OCR text and frame timestamps"),
+    ("m = 32", 32, "verified multimodal item requires at least two valid modality sources"),
+]
+QS = "WITH qs AS (SELECT doc_id AS i, doc_id % 40 AS m, doc_id - 1 IN (SELECT doc_id FROM documents) AS before FROM documents)"
+question_violations = QS + " UNION ALL ".join(f" SELECT i + 1 AS line, {rule}::BIGINT AS rule, '{message}' AS message FROM qs WHERE {where}" for where, rule, message in BROKEN)
+question_summary = QS + """, v AS (SELECT *, m IN (5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 25, 28, 29, 30, 31, 32, 33) AS verified FROM qs WHERE m <> 0),
+    p AS (SELECT 'question_type' AS kind, CASE m WHEN 3 THEN 'smell' WHEN 30 THEN 'visual' WHEN 31 THEN 'ocr' WHEN 32 THEN 'multimodal' ELSE 'audio' END AS value FROM v
+        UNION ALL SELECT 'verification_status', CASE WHEN m = 4 THEN 'unsure' WHEN verified THEN 'verified' ELSE 'generated_candidate' END FROM v
+        UNION ALL SELECT 'split', CASE WHEN m = 10 THEN 'train' WHEN m IN (12, 14) THEN 'development' ELSE 'test' END FROM v WHERE m IN (10, 12, 13, 14, 15)
+        UNION ALL SELECT 'answerable', CASE WHEN m IN (20, 27, 29) THEN 'false' ELSE 'true' END FROM v),
+    c AS (SELECT kind, value, count(*) AS n FROM p GROUP BY ALL)
+    SELECT * FROM c UNION ALL SELECT 'warning', 'question types are severely imbalanced (>70% in one type)', 1 FROM c WHERE kind = 'question_type' HAVING max(n) > 0.7 * sum(n)
+    UNION ALL SELECT 'warning', 'dataset contains no human-verified questions', 1 WHERE NOT EXISTS (SELECT * FROM c WHERE value = 'verified')"""
+type_imbalance = f"SELECT * FROM ({question_summary}) WHERE kind = 'warning'"
+left_anti = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+
+
+def breaking(*rules: int) -> str:
+    return f"SELECT * FROM ({question_violations}) WHERE rule IN ({', '.join(map(str, rules))})"
+
+
 category_counts = "SELECT coalesce(lang, 'all') AS lang, coalesce(quality::VARCHAR, 'all') AS quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY CUBE (lang, quality)"
 range_coverage = """SELECT * FROM (VALUES (1, ''), (2, 'checked_time_ranges overlap'), (3, 'verified unanswerable review must cover the full video'), (4, ''), (5, 'verified unanswerable review must cover the full video'),
     (6, 'checked_time_ranges contain an invalid range'), (7, 'verified unanswerable review must cover the full video'), (8, '')) x(id, problems)"""
