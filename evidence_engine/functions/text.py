@@ -21,14 +21,14 @@ def blank(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores; a run with a Han character also gives its character
-    bigrams, so that a run of two such characters comes twice."""
+    bigrams, so that a run of two such characters comes twice. Texts without a Han character skip the bigrams' lambdas."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
 
     def grams(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.char_length(run) - 1), lambda p: F.substring(run, p, F.lit(2)))
         return F.when(run.rlike(HAN) & (F.char_length(run) > 1), F.concat(F.array(run), pairs)).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, grams))
+    return F.when(text.rlike(HAN), F.flatten(F.transform(runs, grams))).otherwise(runs)
 
 
 def answer_tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import answer_tokens
@@ -57,6 +57,18 @@ def percentile_nearest(value: Column, q: float) -> Column:
     return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+def percentiles_nearest(rows: DataFrame, group: str, value: str, **q: float) -> DataFrame:
+    """(group, a column for each name in q): as percentile_nearest(), for groups of any size. Values are counted first, and
+    what is sorted for a group, its distinct values, spills; nulls don't count."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to = counted.withColumn("_to", F.sum("_n").over(in_order))
+    size = counted.groupBy(group).agg(F.sum("_n").alias("_all"))
+    place = lambda at: F.bround((F.col("_all") - 1) * F.lit(at))
+    named = [F.min(F.when(F.col("_to") > place(at), F.col(value))).alias(name) for name, at in q.items()]
+    return up_to.join(size.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(*named)
+
+
 def rank_delta(hits: DataFrame, baseline: DataFrame, relevance: DataFrame, missing: int = 999) -> DataFrame:
     """(query_id, before, after, change): best ranks of any relevant segment in two runs."""
     best = lambda h, name: h.join(relevance.distinct(), ["query_id", "segment_id"]).groupBy("query_id").agg(F.min("rank").alias(name))

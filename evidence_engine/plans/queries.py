@@ -376,7 +376,7 @@ def percentiles_linear(spark, d):
 
 @query(Q.percentiles_nearest)
 def percentiles_nearest(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(evaluate.percentile_nearest(F.col("o_totalprice"), 0.95).alias("p95"), evaluate.percentile_nearest(F.col("o_totalprice"), 0.5).alias("p50"))
+    return evaluate.percentiles_nearest(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", p95=0.95, p50=0.5)
 
 
 @query(Q.latency_report)

@@ -323,6 +323,14 @@ def test_media_hash(spark):
     assert len(set(got)) == 3 and [r["phash"] for r in media.dct_hash(df).collect()] == got
 
 
+def test_percentiles_nearest(spark):
+    from evidence_engine.operators import evaluate
+
+    data = [("a", float(v)) for v in (5, 1, 1, 9, 3)] + [("b", 2.0), ("b", None), (None, 4.0), (None, 6.0), ("c", None)]
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in evaluate.percentiles_nearest(spark.createDataFrame(data, "g string, v double"), "g", "v", lo=0.0, mid=0.5, hi=1.0).collect()}
+    assert got == {"a": (1.0, 3.0, 9.0), "b": (2.0, 2.0, 2.0), None: (4.0, 4.0, 6.0)}
+
+
 def test_config(tmp_path):
     from evidence_engine.config import load_config
 
