@@ -48,7 +48,7 @@ SINGLES = 640
 KINDS = ("last", "ngram", "skip")
 #: Rows of features of each kind, for classes and for cells (of these each class has a share). The first kind is the one that
 #: tells most, and its pass moves the fewest numbers.
-BUCKETS = {"last": (1 << 15, 1 << 15), "ngram": (1 << 14, 1 << 14), "skip": (1 << 14, 1 << 14)}
+BUCKETS = {"last": (1 << 16, 1 << 16), "ngram": (1 << 14, 1 << 14), "skip": (1 << 14, 1 << 14)}
 #: A task of a pass sends tables of one size, so it should read at least so many tokens (some 32 MB of text).
 TASK_TOKENS = 5_000_000
 #: Numbers of pseudo-counts that a step may smooth with.
