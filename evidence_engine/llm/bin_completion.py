@@ -59,26 +59,32 @@ class WordTable:
         self.ids: dict[bytes, bytes] = {}
         self.max_entries, self.max_key = max_entries, max_key
 
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """Words one by one."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False) if words else []
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _encode(self, words: list[bytes]) -> list[bytes] | None:
+    def _joint(self, words: list[bytes]) -> list[bytes] | None:
         """Words of letters alone: each is one run for the tokenizer, whose last piece is marked as an end of a word, so
         all are encoded as one text and cut at these marks. None if that doesn't give one run a word."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return None
         raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
-    def _letters(self, stem: bytes) -> bool:
-        """Whether the tokenizer sees letters alone, once it has normalised the word: marks that it takes off a letter would
-        run on with those behind the word."""
-        found = stem.decode()
-        return found.isalpha() and self.tokenizer.normalizer.normalize_str(found).isalpha()
+    def _letters(self, stems: list[bytes]) -> set[bytes]:
+        """Those in which the tokenizer sees letters alone, once it has normalised them: marks that it takes off a letter
+        would run on with those behind the word."""
+        found = [(s, s.decode()) for s in stems]
+        found = [(s, t) for s, t in found if t.isalpha()]
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(t for _, t in found)).split(" ")
+        if len(normal) != len(found):
+            normal = [self.tokenizer.normalizer.normalize_str(t) for _, t in found]
+        return {s for (s, _), t in zip(found, normal, strict=True) if t.isalpha()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
@@ -90,40 +96,31 @@ class WordTable:
                 self.ids.clear()
                 new = every
             self._learn(new)
-        long = {w: self._one(w) for w in new if len(w) > self.max_key}
+        over = [w for w in new if len(w) > self.max_key]
+        long = dict(zip(over, self._each(over), strict=True))
         ids = self.ids | long if long else self.ids
         return [b"".join(map(ids.__getitem__, w)) for w in words]
 
     def _learn(self, words: set[bytes]) -> None:
         """A word of letters and marks at its end has the ids of the letters and of the marks, as the tokenizer parts them;
         it lowers letters, so ASCII ones are lowered first."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        plain, other, whole = set(), set(), set()
-        for w in words:
-            if len(w) > self.max_key:
-                continue
-            stem = w.rstrip(_TAIL)
-            if stem.isalpha():
-                stem = stem.lower()
-                plain.add(stem)
-            elif stem and self._letters(stem):
-                other.add(stem)
-            else:
-                whole.add(w)
-                continue
-            parts[w] = (stem, w[len(stem) :])
-        for stems in (plain, other):
-            todo = list(stems.difference(self.ids))
-            found = self._encode(todo)
-            if found is None:  # a letter that this library doesn't take for one
-                whole.update(w for w, (stem, _) in parts.items() if stem in stems)
-                parts = {w: x for w, x in parts.items() if w not in whole}
-            else:
+        kept = [w for w in words if len(w) <= self.max_key]
+        stems = [w.rstrip(_TAIL) for w in kept]
+        keys = [s.lower() if s.isalpha() else s for s in stems]
+        plain = {s for s in keys if s.isalpha()}
+        other = self._letters(list({s for s in keys if s} - plain))
+        known: set[bytes] = set()
+        for group in (plain, other):
+            todo = list(group.difference(self.ids))
+            found = self._joint(todo)
+            if found is not None:  # otherwise there is a letter that this library doesn't take for one
                 self.ids.update(zip(todo, found, strict=True))
-        for w in whole | {t for _, t in parts.values() if t}.difference(self.ids):
-            self.ids[w] = self._one(w)
-        for w, (stem, tail) in parts.items():
-            self.ids[w] = self.ids[stem] + (self.ids[tail] if tail else b"")
+                known |= group
+        parted = [(w, k, w[len(s) :]) for w, s, k in zip(kept, stems, keys, strict=True) if k in known]
+        whole = list(({t for _, _, t in parted if t} | {w for w, k in zip(kept, keys, strict=True) if k not in known}).difference(self.ids))
+        self.ids.update(zip(whole, self._each(whole), strict=True))
+        ids = self.ids
+        ids.update([(w, ids[k] + ids[t] if t else ids[k]) for w, k, t in parted])
 
 
 def word_table(path: str) -> WordTable:

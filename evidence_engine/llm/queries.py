@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, maxent_lm, oracle, piece_codec, quality_cascade, sharding, simhash_tiles, toxic_lexicon, warc_chunks
+from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, lyndon_runs, maxent_lm, oracle, piece_codec, quality_cascade, sharding, simhash_tiles, token_archive, toxic_lexicon, warc_chunks, whitening
 from evidence_engine.llm.shared import fresh_path, table
 
 
@@ -74,6 +74,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", "|").alias("sentence_ids"), F.array_join("licenses", "|").alias("licenses"))
 
 
+def op11_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-archive")
+    token_archive.write_archive(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_archive.read_archive(spark, path)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), components_kept=32))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_runs.scan(table(spark, sf_dir, "documents"), change=lyndon_runs.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_license_scan": op10_license_scan,
+    "op11_token_archive": op11_token_archive,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
