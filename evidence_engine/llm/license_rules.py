@@ -8,6 +8,12 @@ licence rules. A rule is a sequence of identifiers that must occur in this order
 identifiers away from those after it, as often as it matches, so longer rules stand before the shorter ones
 that they contain.
 
+Everything is linear in the text, however many notices it holds. For the rules an identifier is one character. Whether a
+rule matches at all is one pass of a pattern that never goes back. How often, and what it takes, is one pass that counts
+for each step of the rule how many matches have come so far: an identifier goes to the last step that waits for it, so
+earlier matches are served first, as if they were taken one after the other. Lists and strings that grow in a pass grow
+in blocks of 1,024. Lines and sentences are sorted by place and meet only within groups that overlap.
+
 Texts without any of the words that every known sentence has one of can't match and skip the cutting; a table of
 sentences that don't all have one makes every text be cut.
 
@@ -147,51 +153,113 @@ def _units(text: Column) -> tuple[Column, Column]:
     return sentences, lines
 
 
-def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] | None = None, rules=None) -> DataFrame:
-    """The kept columns, n_sentences long, sentence_ids and licenses (arrays, in the order of the text and of the rules)."""
-    sentences, rules = sentences or SENTENCES, RULES if rules is None else rules
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (normalized(s), i)))
-    text = F.col(text_col).cast("string")
-    base = df.select(*keep, (F.when(text.rlike(ANCHOR), text) if all(re.search(ANCHOR, s) for s in sentences.values()) else text).alias("_text"))
-    cut, lines = _units(F.col("_text"))
+BLOCK = 1024
 
-    def placed(units: Column) -> Column:
-        """The known units: where they begin and end, and the identifier."""
-        sized = F.transform(units, lambda u: F.struct(F.length(F.regexp_replace(u, r"\s", "")).alias("n"), F.try_element_at(known, normalize(u)).alias("id")))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,end:int,id:string>>").alias("found"))
 
-        def step(state: Column, u: Column) -> Column:
-            end = state["end"] + u["n"]
-            hit = F.struct(state["end"].alias("at"), end.alias("end"), u["id"].alias("id"))
-            return F.struct(end.alias("end"), F.when(u["id"].isNotNull(), F.concat(state["found"], F.array(hit))).otherwise(state["found"]).alias("found"))
+def _grown(items: Column, state: dict[str, Column], empty: Column, step) -> Column:
+    """Folds items; step(state, item) gives the new state and what the item adds to `out` (of empty's kind), which is
+    gathered by blocks, so that what has been gathered is not copied for every item."""
+    last = lambda xs: F.greatest(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1)
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), last(xs)), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.transform(F.array(items), cut)[0]  # as a lambda's argument items is worked out once, not for each block
+    begin = F.struct(*(c.alias(k) for k, c in state.items()), empty.alias("out"))
 
-        return F.aggregate(sized, start, step)["found"]
+    def one(now: Column, item: Column) -> Column:
+        new, added = step(now, item)
+        return F.struct(*(new.get(k, now[k]).alias(k) for k in state), F.when(added.isNull(), now["out"]).otherwise(F.concat(now["out"], added)).alias("out"))
 
-    # A sentence over several lines shows in the first list, one without an end mark in the second.
+    def block(now: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(*(now[k].alias(k) for k in state), empty.alias("out")), one)
+        return F.transform(F.array(inner), lambda x: F.struct(*(x[k].alias(k) for k in state), F.concat(now["out"], x["out"]).alias("out")))[0]
+
+    return F.aggregate(blocks, begin, block)
+
+
+def _placed(units: Column, known: Column) -> Column:
+    """The known units: where they begin and end, and the identifier's mark."""
+    kind = "array<struct<at:int,end:int,mark:string>>"
+    sized = F.transform(units, lambda u: F.struct(F.length(F.regexp_replace(u, r"\s", "")).alias("n"), F.try_element_at(known, normalize(u)).alias("mark")))
+
+    def step(now: Column, u: Column):
+        end = now["end"] + u["n"]
+        return {"end": end}, F.when(u["mark"].isNotNull(), F.array(F.struct(now["end"].alias("at"), end.alias("end"), u["mark"].alias("mark"))))
+
+    return _grown(sized, {"end": F.lit(0)}, F.array().cast(kind), step)["out"]
+
+
+def _merged(sentences: Column, lines: Column) -> Column:
+    """The marks of both lists in order. Of a sentence and a line that overlap the longer counts, of equal ones the sentence;
+    a sentence gives way only to a line that counts."""
+    tagged = lambda xs, line: F.transform(xs, lambda x: F.struct(x["at"].alias("at"), x["end"].alias("end"), F.lit(line).alias("line"), x["mark"].alias("mark")))
     overlap = lambda x, y: (x["at"] < y["end"]) & (y["at"] < x["end"])
     length = lambda x: x["end"] - x["at"]
-    found = base.withColumn("_s", placed(cut)).withColumn("_l", placed(lines))
-    found = found.withColumn("_own", F.when(F.col("_s") == F.col("_l"), F.slice("_l", 1, 0)).otherwise(F.filter("_l", lambda x: ~F.exists("_s", lambda y: overlap(x, y) & (length(y) >= length(x))))))
-    places = F.array_sort(F.concat(F.filter("_s", lambda y: ~F.exists("_own", lambda x: overlap(x, y))), F.col("_own")))
-    found = found.withColumn("sentence_ids", F.coalesce(F.transform(places, lambda x: x["id"]), F.array().cast("array<string>")))
-    marked = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(seq)).alias("n"), F.lit(f"<{seq[0]}>").alias("one"), F.lit("(?s)^(.*?)" + "(.*?)".join(f"<{i}>" for i in seq) + "(.*)$").alias("match"), F.lit("".join(f"${k}" for k in range(1, len(seq) + 2))).alias("rest")) for name, seq in rules))
-    start = F.struct(marked.alias("left"), F.array().cast("array<string>").alias("names"))
 
-    def taken(left: Column, rule: Column) -> Column:
-        """What a rule leaves once it no longer matches; one that has ended costs nothing more."""
-        again = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("sentence_ids") / rule["n"]).cast("int")))
-        begin = F.struct(left.alias("left"), F.lit(True).alias("live"))
+    def settled(group: Column) -> Column:
+        beaten = lambda x: F.exists(group, lambda y: ~y["line"] & overlap(x, y) & (length(y) >= length(x)))
+        return F.filter(group, lambda x: F.when(x["line"], ~beaten(x)).otherwise(~F.exists(group, lambda y: y["line"] & overlap(x, y) & ~beaten(y))))
+
+    both = F.array_sort(F.concat(tagged(sentences, False), tagged(lines, True)))
+    none = F.array().cast("array<struct<at:int,end:int,line:boolean,mark:string>>")
+
+    def step(now: Column, x: Column):
+        apart = x["at"] >= now["end"]
+        group = F.when(apart, F.array(x)).otherwise(F.concat(now["group"], F.array(x)))
+        return {"end": F.greatest(now["end"], x["end"]), "group": group}, F.when(apart, settled(now["group"]))
+
+    found = _grown(both, {"end": F.lit(0), "group": none}, none, step)
+    every = F.transform(F.array(found), lambda x: F.concat(x["out"], settled(x["group"])))[0]
+    return F.transform(F.when(sentences == lines, tagged(sentences, False)).otherwise(every), lambda x: x["mark"])
+
+
+def _taken(left: Column, seq: Column) -> Column:
+    """What is left of the marks once a rule has taken its own as often as it matches."""
+    marks, steps = F.split(left, ""), F.sequence(F.lit(0), F.size(seq) - 1)
+
+    def goes_to(counts: Column, mark: Column) -> Column:
+        """The last step that waits for this mark, or -1."""
+        waits = lambda s: (seq[s] == mark) & ((s == 0) | (F.get(counts, s - 1) > counts[s]))
+        return F.when(F.array_contains(seq, mark), F.aggregate(steps, F.lit(-1), lambda best, s: F.when(waits(s), s).otherwise(best))).otherwise(-1)
+
+    def counted(counts: Column, to: Column) -> Column:
+        return F.transform(counts, lambda n, s: F.when(s == to, n + 1).otherwise(n))
+
+    def count(counts: Column, mark: Column) -> Column:
+        return F.when(F.array_contains(seq, mark), counted(counts, goes_to(counts, mark))).otherwise(counts)
+
+    zeros = F.transform(steps, lambda _: F.lit(0))
+    full = F.element_at(F.aggregate(marks, zeros, count), -1)
+
+    def step(now: Column, mark: Column):
+        to = goes_to(now["counts"], mark)
+        return {"counts": F.when(to >= 0, counted(now["counts"], to)).otherwise(now["counts"])}, F.when((to < 0) | (F.get(now["counts"], to) >= now["full"]), mark)
+
+    return _grown(marks, {"counts": zeros, "full": full}, F.lit(""), step)["out"]
+
+
+def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] | None = None, rules=None) -> DataFrame:
+    """The kept columns, n_sentences long, sentence_ids and licenses (arrays, in the order of the text and of the rules)."""
+    sentences, rules = sentences or SENTENCES, RULES if rules is None else rules
+    mark_of = {i: chr(0x21 + k) if k < 0x5E else chr(0x4E00 + k) for k, i in enumerate(sentences)}
+    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (normalized(s), mark_of[i])))
+    named = F.create_map(*(F.lit(x) for i, m in mark_of.items() for x in (m, i)))
+    text = F.col(text_col).cast("string")
+    base = df.select(*keep, (F.when(text.rlike(ANCHOR), text) if all(re.search(ANCHOR, s) for s in sentences.values()) else text).alias("_text"))
+    cut, lines = _units(F.col("_text"))
+    # A sentence over several lines shows in the first list, one without an end mark in the second.
+    found = base.withColumn("_s", _placed(cut, known)).withColumn("_l", _placed(lines, known))
+    found = found.withColumn("_marks", F.coalesce(F.when(F.size("_s") + F.size("_l") > 0, _merged(F.col("_s"), F.col("_l"))), F.array().cast("array<string>")))
 
-        def once(state: Column, _: Column) -> Column:
-            hit = state["live"] & F.rlike(state["left"], rule["match"])
-            return F.when(hit, F.struct(F.regexp_replace(state["left"], rule["match"], rule["rest"]).alias("left"), F.lit(True).alias("live"))).otherwise(F.struct(state["left"].alias("left"), F.lit(False).alias("live")))
+    def pattern(seq: tuple[str, ...]) -> str:
+        return "^" + "".join(rf"[^{re.escape(mark_of[i])}]*+{re.escape(mark_of[i])}" for i in seq)
 
-        return F.when(rule["n"] == 1, F.replace(left, rule["one"], F.lit(""))).otherwise(F.aggregate(again, begin, once)["left"])
+    usable = [(name, seq) for name, seq in rules if all(i in mark_of for i in seq)]
+    kind = "array<struct<name:string,seq:array<string>,match:string>>"
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*(F.lit(mark_of[i]) for i in seq)).alias("seq"), F.lit(pattern(seq)).alias("match")) for name, seq in usable)).cast(kind)
+    start = F.struct(F.array_join("_marks", "").alias("left"), F.array().cast("array<string>").alias("names"))
 
     def step(state: Column, rule: Column) -> Column:
-        hit = F.rlike(state["left"], rule["match"])
-        return F.when(hit, F.struct(taken(state["left"], rule).alias("left"), F.concat(state["names"], F.array(rule["name"])).alias("names"))).otherwise(state)
+        left = F.when(F.size(rule["seq"]) == 1, F.replace(state["left"], rule["seq"][0], F.lit(""))).otherwise(_taken(state["left"], rule["seq"]))
+        return F.when(F.rlike(state["left"], rule["match"]), F.struct(left.alias("left"), F.concat(state["names"], F.array(rule["name"])).alias("names"))).otherwise(state)
 
-    named = F.when(F.size("sentence_ids") > 0, F.array_distinct(F.aggregate(table, start, step)["names"])).otherwise(F.array().cast("array<string>"))
-    return found.select(*keep, F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", named.alias("licenses"))
+    licenses = F.when(F.size("_marks") > 0, F.array_distinct(F.aggregate(table, start, step)["names"])).otherwise(F.array().cast("array<string>"))
+    return found.select(*keep, F.size("_marks").cast("long").alias("n_sentences"), F.transform("_marks", lambda m: named[m]).alias("sentence_ids"), licenses.alias("licenses"))

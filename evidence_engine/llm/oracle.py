@@ -23,22 +23,31 @@ WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), x AS (
 
 
 def licenses() -> str:
-    """Sentences are cut at a mark put after each end; every rule is one step of the fold."""
+    """Units by place, merged as relations; then a rule at a time, as long as it matches, by recursion."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    keys = ", ".join(quote(license_rules.normalized(s)) for s in license_rules.SENTENCES.values())
-    names = ", ".join(quote(i) for i in license_rules.SENTENCES)
-    norm = r"trim(regexp_replace(lower(u), '[^a-z0-9.]+', ' ', 'g'), ' .')"
-    known = f"list_filter(list_transform({{}}, lambda u: [{names}][list_position([{keys}], {norm})]), lambda i: i IS NOT NULL)"
-    cut = r"string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '([.!?;])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1))"
-    lines = "string_split(replace(text, chr(13), ''), chr(10))"
-    steps = []
-    for k, (name, seq) in enumerate(license_rules.RULES):
-        match = "(?s)^(.*?)" + "(.*?)".join(f"<{i}>" for i in seq) + "(.*)$"
-        rest = "".join(rf"\{j}" for j in range(1, len(seq) + 2))
-        steps.append(f"r{k + 1} AS (SELECT doc_id, ids, CASE WHEN regexp_matches(l, '{match}') THEN regexp_replace(l, '{match}', '{rest}') ELSE l END AS l, CASE WHEN regexp_matches(l, '{match}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{k})")
-    return f"""WITH s AS (SELECT doc_id, coalesce({known.format(cut)}, []) AS a, coalesce({known.format(lines)}, []) AS b FROM documents),
-    t AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids FROM s), r0 AS (SELECT doc_id, ids, '<' || array_to_string(ids, '><') || '>' AS l, []::VARCHAR[] AS found FROM t), {', '.join(steps)}
-    SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, '|') AS sentence_ids, array_to_string(found, '|') AS licenses FROM r{len(license_rules.RULES)}"""
+    known = ", ".join(f"({quote(license_rules.normalized(s))}, {quote(i)})" for i, s in license_rules.SENTENCES.items())
+    rules = ", ".join(f"({k}, {quote(name)}, [{', '.join(map(quote, seq))}])" for k, (name, seq) in enumerate(license_rules.RULES, 1))
+    text, most = "replace(text, chr(13), '')", max(len(seq) for _, seq in license_rules.RULES)
+    cut = rf"string_split(regexp_replace(regexp_replace({text}, '([.!?;])[ \t\n\v\f]+', '\1' || chr(1), 'g'), '\n[ \t\n\v\f]*\n', chr(1), 'g'), chr(1))"
+    units = lambda split, line: f"SELECT u.uid, i.i, {line} AS line, u.part[i.i] AS part FROM (SELECT uid, {split} AS part FROM d) u, LATERAL (SELECT unnest(range(1, len(u.part) + 1)) AS i) i"
+    # The place of each identifier of a rule, each behind the one before; null when one is missing.
+    places = "".join(f", p{k} AS (SELECT *, CASE WHEN len(seq) < {k} THEN p{k - 1} ELSE p{k - 1} + nullif(list_position(ids[p{k - 1} + 1:], seq[{k}]), 0) END AS p{k} FROM p{k - 1})" for k in range(1, most + 1))
+    own = ", ".join(f"p{k}" for k in range(1, most + 1))
+    return rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS uid, doc_id, text FROM documents),
+    known(norm, id) AS (VALUES {known}), rules(k, name, seq) AS (VALUES {rules}),
+    units AS ({units(cut, 'false')} UNION ALL {units(f"string_split({text}, chr(10))", 'true')}),
+    sized AS (SELECT *, length(regexp_replace(part, '[ 	
+]', '', 'g')) AS n, trim(regexp_replace(lower(part), '[^a-z0-9.]+', ' ', 'g'), ' .') AS norm FROM units),
+    ends AS (SELECT *, sum(n) OVER (PARTITION BY uid, line ORDER BY i) AS e FROM sized),
+    hits AS (SELECT uid, line, (e - n)::BIGINT AS a, e::BIGINT AS e, n, id FROM ends JOIN known USING (norm)),
+    lines AS (SELECT * FROM hits x WHERE line AND NOT EXISTS (SELECT 1 FROM hits y WHERE y.uid = x.uid AND NOT y.line AND x.a < y.e AND y.a < x.e AND y.n >= x.n)),
+    kept AS (SELECT * FROM lines UNION ALL SELECT * FROM hits y WHERE NOT line AND NOT EXISTS (SELECT 1 FROM lines x WHERE x.uid = y.uid AND x.a < y.e AND y.a < x.e)),
+    lists AS (SELECT uid, list(id ORDER BY a, e) AS ids FROM kept GROUP BY uid),
+    fold(uid, k, ids, names) AS (SELECT uid, 1, ids, []::VARCHAR[] FROM lists UNION ALL (WITH p0 AS (SELECT fold.*, rules.name, rules.seq, 0 AS p0 FROM fold JOIN rules USING (k)){places}
+      SELECT uid, CASE WHEN p{most} IS NULL THEN k + 1 ELSE k END, CASE WHEN p{most} IS NULL THEN ids ELSE list_filter(ids, lambda x, i: NOT list_contains([{own}], i)) END,
+        CASE WHEN p{most} IS NULL OR list_contains(names, name) THEN names ELSE list_append(names, name) END FROM p{most})),
+    done AS (SELECT uid, names FROM fold WHERE k = {len(license_rules.RULES) + 1})
+    SELECT doc_id, coalesce(len(ids), 0) AS n_sentences, coalesce(array_to_string(ids, '|'), '') AS sentence_ids, coalesce(array_to_string(names, '|'), '') AS licenses FROM d LEFT JOIN lists USING (uid) LEFT JOIN done USING (uid)"""
 
 
 ORACLE_SQL = {"op1_exact_topk": EXACT_TOPK, "op3_sharding": SHARDING, "op7_warc": WARC, "op10_license_scan": licenses()}

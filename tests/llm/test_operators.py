@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, maxent_lm, piece_codec, quality_cascade, queries, sharding, simhash_tiles, toxic_lexicon, warc_chunks
+from evidence_engine.llm import bin_completion, bitsliced_topk, license_rules, maxent_lm, oracle, piece_codec, quality_cascade, queries, sharding, simhash_tiles, toxic_lexicon, warc_chunks
 from evidence_engine.llm.shared import connected_components, fresh_path, spanning_stars, table
 from tests.llm.conftest import hard_texts
 
@@ -723,6 +724,46 @@ def test_licenses_brute(spark, sf):
     assert [(r["sentence_ids"], r["licenses"]) for r in found] == [(["x", "y"], ["free"])]
 
 
+def test_licenses_many_notices(spark):
+    """Linear in the text: one that repeats a notice thousands of times is no more than so many notices."""
+    bsd, mit = (("bsd-grant", "bsd-source", "bsd-binary"), ("mit-grant", "mit-notice"))
+    notice = lambda seq: "\n".join(license_rules.SENTENCES[i] for i in seq) + "\n\n"
+    cases = [(1, notice(bsd) * 1000, [*bsd * 1000], ["BSD-2-Clause"]), (2, notice(bsd[:2]) * 1000, [*bsd[:2] * 1000], []), (3, (notice(bsd[:1]) * 5 + notice(bsd[1:]) * 5 + notice(mit)) * 100, [*(bsd[:1] * 5 + bsd[1:] * 5 + mit) * 100], ["MIT", "BSD-2-Clause"])]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in cases], "doc_id long, text string").repartition(3)
+    license_rules.scan(df.limit(0)).collect()
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_rules.scan(df).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {i: (ids, names) for i, _, ids, names in cases}
+
+
+def test_licenses_rules_with_repeats(spark):
+    """Rules that ask for one identifier twice, and interleaved matches, against one match at a time."""
+    rng = random.Random(12)
+    own = {k: f"sentence {k} of the table." for k in "abc"}
+    rules = (("aba", ("a", "b", "a")), ("aa", ("a", "a")), ("abc", ("a", "b", "c")), ("ca", ("c", "a")), ("b", ("b",)))
+    texts = ["\n".join(own[rng.choice("abc")] for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_rules.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sentences=own, rules=rules).collect()}
+    assert got == {i: brute_licenses(t, own, rules) for i, t in enumerate(texts)}
+
+
+def test_licenses_sql():
+    import duckdb
+
+    rng = random.Random(10)
+    pool = list(license_rules.SENTENCES.values())
+    filler = ["Prose without any mark", "Some words here.", "* ", "\n\n", "\n", " ", "2.0."]
+    texts = ["".join(rng.choice((lambda: rng.choice(pool), lambda: rng.choice(filler)))().replace(" ", rng.choice((" ", " ", "\n "))) + rng.choice((" ", "\n", "\n\n")) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    texts += ["\n".join([s for i, s in license_rules.SENTENCES.items() if i in seq] * 2) for _, seq in license_rules.RULES] + [None, ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {i: (n, ids, names) for i, n, ids, names in con.execute(oracle.ORACLE_SQL["op10_license_scan"]).fetchall()}
+    for i, t in enumerate(texts):
+        ids, names = brute_licenses(t, license_rules.SENTENCES, license_rules.RULES)
+        assert got[i] == (len(ids), "|".join(ids), "|".join(names)), t
+
+
 def test_license_table():
     for i, s in license_rules.SENTENCES.items():
         assert re.search(license_rules.ANCHOR, s), s
