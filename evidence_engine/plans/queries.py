@@ -36,8 +36,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight tokens of each benchmark text."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.tokenize(F.col("text")), 1, 8), " ").alias("query"), "text")
+    """Every benchmark text, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "text")
 
 
 def event_hours(spark: SparkSession, d: str) -> DataFrame:
@@ -432,23 +432,23 @@ def frame_histogram(spark, d):
     return counted(event_hours(spark, d)).groupBy(F.col("n_frames").cast("long").alias("n_frames")).agg(F.count(F.lit(1)).alias("segments"))
 
 
-@query()
+@query(Q.supplement_plan)
 def supplement_plan(spark, d):
     plan = audit.plan_supplement(counted(event_hours(spark, d)), 1)
     return plan.select("video_id", "ordinal", "timestamp", F.array_join("segment_ids", ",").alias("segment_ids"), F.array_join("targeted_segment_ids", ",").alias("targeted"))
 
 
-@query()
+@query(Q.supplement_totals)
 def supplement_totals(spark, d):
     return audit.plan_totals(audit.plan_supplement(counted(event_hours(spark, d)), 2))
 
 
 @query(Q.supplement_choice)
 def supplement_choice(spark, d):
-    rows = vector_rows(spark, d).select("segment_id", vectors.sign_hash(F.col("vector")).alias("phash"))
-    known = rows.where("segment_id % 100 = 0").agg(F.array_sort(F.collect_list("phash")).alias("known"))  # the known frames of one video
-    trials = rows.where("segment_id % 100 <> 0").select(F.expr("segment_id div 100").alias("video_id"), F.expr("(segment_id % 100) div 5").alias("ordinal"), (F.col("segment_id") % 5).alias("attempt"), F.col("segment_id").cast("double").alias("timestamp"), "phash")
-    out = audit.choose_supplement_frames(trials.crossJoin(F.broadcast(known)), 20)
+    # A video is a hundred vectors: every 25th is a frame that it has, the others are attempts at twenty planned ones.
+    rows = vector_rows(spark, d).select("segment_id", F.expr("segment_id div 100").alias("video_id"), vectors.sign_hash(F.col("vector")).alias("phash"))
+    trials = rows.where("segment_id % 25 <> 0").select("video_id", F.expr("(segment_id % 100) div 5").alias("ordinal"), (F.col("segment_id") % 5).alias("attempt"), F.col("segment_id").cast("double").alias("timestamp"), "phash")
+    out = audit.choose_supplement_frames(trials, rows.where("segment_id % 25 = 0"), 28)
     return out.select("video_id", "ordinal", "attempt", "timestamp", F.col("nearest").cast("long").alias("nearest"), "near_duplicate")
 
 
@@ -674,7 +674,7 @@ def video_components(spark, d):
 
 @query()
 def split_search(spark, d):
-    return prepare.assign_splits(split_questions(spark, d), trials=2000)
+    return prepare.assign_splits(split_questions(spark, d))
 
 
 @query(Q.split_feasibility)

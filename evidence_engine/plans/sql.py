@@ -10,7 +10,7 @@ def tok(column: str) -> str:
 
 
 DOC_TOKENS = f"d AS (SELECT doc_id, unnest({tok('text')}) AS tok FROM documents)"
-QUESTIONS = f"q AS (SELECT item_id, list_slice({tok('text')}, 1, 8) AS toks, array_to_string(list_slice({tok('text')}, 1, 8), ' ') AS query, text FROM benchmark)"
+QUESTIONS = f"q AS (SELECT item_id, {tok('text')} AS toks, text AS query, text FROM benchmark)"
 TERMS = "qt AS (SELECT item_id, tok, count(*) AS qtf FROM (SELECT item_id, unnest(toks) AS tok FROM q) GROUP BY item_id, tok)"
 
 
@@ -170,9 +170,31 @@ near_dup_frames = f"""WITH {SIGNS}, n AS (SELECT vec_id // 25 AS video_id, vec_i
 exact_duplicates = "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1"
 reuse_counts = "SELECT sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS reused, count(*) AS contents, max(n) AS most FROM (SELECT count(*) AS n FROM documents GROUP BY text)"
 histogram = f"WITH {COUNTED} SELECT n_frames, count(*) AS segments FROM c GROUP BY 1"
-supplement_choice = f"""WITH {SIGNS}, k AS (SELECT b AS kb FROM sg WHERE vec_id % 100 = 0), t AS (SELECT vec_id, min(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> kb[i] THEN 1 ELSE 0 END)))::BIGINT AS nearest FROM sg CROSS JOIN k WHERE vec_id % 100 <> 0 GROUP BY 1),
+supplement_choice = f"""WITH {SIGNS}, k AS (SELECT vec_id // 100 AS video_id, b AS kb FROM sg WHERE vec_id % 25 = 0),
+    t AS (SELECT vec_id, min(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> kb[i] THEN 1 ELSE 0 END)))::BIGINT AS nearest FROM sg JOIN k ON k.video_id = vec_id // 100 WHERE vec_id % 25 <> 0 GROUP BY 1),
     r AS (SELECT vec_id // 100 AS video_id, (vec_id % 100) // 5 AS ordinal, vec_id % 5 AS attempt, vec_id::DOUBLE AS timestamp, nearest FROM t)
-    SELECT video_id, ordinal, attempt, timestamp, nearest, nearest <= 20 AS near_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY video_id, ordinal ORDER BY nearest > 20 DESC, CASE WHEN nearest > 20 THEN attempt ELSE -1 END, nearest DESC, attempt) AS n FROM r) WHERE n = 1"""
+    SELECT video_id, ordinal, attempt, timestamp, nearest, nearest <= 28 AS near_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY video_id, ordinal ORDER BY nearest > 28 DESC, CASE WHEN nearest > 28 THEN attempt ELSE -1 END, nearest DESC, attempt) AS n FROM r) WHERE n = 1"""
+
+
+def planned(target: int) -> str:
+    """CTEs up to p(video_id, ordinal, timestamp, ids, aimed): a step of the recursion is a timestamp of each video, taken from the
+    first segment that lacks frames and what it shares with those after it."""
+    lacks = f"list_filter(segs, lambda s: s.n < {target})"
+    common = "{{'a': greatest(x.a, y.a), 'b': least(x.b, y.b)}}".replace("{{", "{").replace("}}", "}")
+    return f"""WITH RECURSIVE {COUNTED}, v AS (SELECT video_id, list({{'a': start_time, 'b': end_time, 'id': segment_id, 'n': n_frames}} ORDER BY start_time, end_time, segment_id) AS segs FROM c GROUP BY video_id),
+    p(video_id, ordinal, timestamp, ids, aimed, segs) AS (SELECT video_id, -1, 0.0::DOUBLE, []::VARCHAR[], []::VARCHAR[], segs FROM v UNION ALL (
+      WITH a AS (SELECT video_id, ordinal, segs, list_transform({lacks}, lambda s: {{'a': s.a, 'b': s.b}}) AS open FROM p WHERE len({lacks}) > 0),
+      b AS (SELECT *, list_reduce(open, lambda x, y: CASE WHEN greatest(x.a, y.a) < least(x.b, y.b) THEN {common} ELSE x END) AS r FROM a),
+      t AS (SELECT *, printf('%.3f', (r.a + r.b) / 2.0)::DOUBLE AS tm FROM b),
+      h AS (SELECT *, list_filter(segs, lambda s: s.a <= tm AND tm < s.b) AS hit FROM t),
+      g AS (SELECT *, list_transform(list_filter(hit, lambda s: s.n < {target}), lambda s: s.id) AS lacking, list_transform({lacks}, lambda s: s.id)[1:1] AS earliest FROM h),
+      f AS (SELECT *, CASE WHEN len(lacking) > 0 THEN lacking ELSE earliest END AS goal FROM g)
+      SELECT video_id, ordinal + 1, tm, list_transform(hit, lambda s: s.id), goal, list_transform(segs, lambda s: {{'a': s.a, 'b': s.b, 'id': s.id, 'n': s.n + CASE WHEN list_contains(goal, s.id) THEN 1 ELSE 0 END}}) FROM f))"""
+
+
+supplement_plan = f"{planned(1)} SELECT video_id::VARCHAR AS video_id, ordinal, timestamp, array_to_string(ids, ',') AS segment_ids, array_to_string(aimed, ',') AS targeted FROM p WHERE ordinal >= 0"
+supplement_totals = f"""{planned(2)} SELECT count(*) AS new_frames, sum(len(ids))::BIGINT AS new_memberships, sum(len(aimed))::BIGINT AS coverage_gains, (sum(len(ids)) - count(*))::BIGINT AS reused_memberships,
+    count(*) * 120000 AS image_bytes, count(*) * 2048 AS vector_bytes FROM p WHERE ordinal >= 0"""
 
 DECISIONS = """dec AS (SELECT user_id AS question_id, event_id, row_number() OVER w AS sequence, lag(event_id) OVER w AS previous_event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'accept' WHEN event_type = 'error' THEN 'reject' ELSE 'reopen' END AS action FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     lt AS (SELECT question_id, arg_max(event_id, sequence) AS event_id, arg_max(action, sequence) AS action, max(sequence) AS sequence FROM dec GROUP BY 1)"""

@@ -1,7 +1,12 @@
 """Operators on small literal tables, with the expectations that the engine must meet."""
 
+import hashlib
 import json
+import math
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +146,44 @@ def test_audit(spark):
         audit.plan_supplement(df, 0)
 
 
+def naive_plan(segments, target):
+    """What a plan says, with every segment looked at for every timestamp."""
+    have, out = {s[0]: s[3] for s in segments}, []
+    rows_ = sorted(segments, key=lambda s: (s[1], s[2], s[0]))
+    while any(have[s[0]] < target for s in rows_):
+        open_ = [s for s in rows_ if have[s[0]] < target]
+        a, b = open_[0][1:3]
+        for s in open_[1:]:
+            a, b = (max(a, s[1]), min(b, s[2])) if max(a, s[1]) < min(b, s[2]) else (a, b)
+        at = round((a + b) / 2, 3)
+        inside = [s[0] for s in rows_ if s[1] <= at < s[2]]
+        aimed = [i for i in inside if have[i] < target] or [open_[0][0]]
+        have |= {i: have[i] + 1 for i in aimed}
+        out.append((len(out), at, inside, aimed))
+    return out
+
+
+def test_supplement_plan(spark):
+    rng = random.Random(8)
+    videos = {}
+    for v in range(60):
+        spans = [(round(rng.uniform(0, 60), rng.choice((0, 1, 4))), rng.choice((0.0004, 1.0, 5.0, 20.0, 90.0))) for _ in range(rng.randint(1, 25))]
+        videos[f"v{v:02}"] = [(f"s{k:02}", a, a + n, rng.choice((0, 0, 0, 1, 3))) for k, (a, n) in enumerate(spans)]
+    df = spark.createDataFrame([(v, *s) for v, own in videos.items() for s in own], "video_id string, segment_id string, start_time double, end_time double, n_frames int").repartition(5)
+    for target in (1, 2):
+        got = {}
+        for r in sorted(audit.plan_supplement(df, target).collect()):
+            got.setdefault(r["video_id"], []).append(tuple(r)[1:])
+        assert got == {v: p for v, own in videos.items() if (p := naive_plan(own, target))}
+
+
+def test_supplement_choice(spark):
+    trials = spark.createDataFrame([("v", 0, 0, 1.0, 0b0), ("v", 0, 1, 2.0, 0b1111), ("v", 1, 0, 3.0, 0b1), ("v", 1, 1, 4.0, 0b11), ("w", 0, 0, 5.0, 0b0), ("w", 0, 1, 6.0, 0b1)], "video_id string, ordinal int, attempt int, timestamp double, phash long")
+    known = spark.createDataFrame([("v", 0), ("v", 0), ("x", 0b1111)], "video_id string, phash long")
+    got = audit.choose_supplement_frames(trials, known, 3)
+    assert sorted(rows(got, "video_id", "ordinal", "attempt", "nearest", "near_duplicate")) == [("v", 0, 1, 4, False), ("v", 1, 1, 2, True), ("w", 0, 0, 64, False)]
+
+
 EVENTS = "line_no long, event_id string, sequence int, previous_event_id string, question_id string, action string, candidate_file_sha256 string"
 
 
@@ -258,6 +301,29 @@ def test_splits(spark):
     assert dict(rows(feasible, "question_type", "at_least_six")) == {"audio": True, "none": False}
 
 
+def test_split_search(spark):
+    """The trials in arrays draw and choose what one at a time do."""
+    rng = random.Random(3)
+    drawn = [rng.choices(prepare.SPLITS, weights=[0.7, 0.15, 0.15], k=1)[0] for _ in range(50 * 7)]
+    found = np.concatenate(list(prepare.random_choices(3, 50, 7, [0.7, 0.15, 0.15], block=8)))
+    assert [prepare.SPLITS[k] for k in found.ravel()] == drawn
+    data = [(f"v{i}", t) for i in range(12) for t in ("audio", "visual", "ocr")[: 1 + i % 3] for _ in range(1 + i % 4)]
+    q = spark.createDataFrame([(v, t, None) for v, t in data], "video_id string, question_type string, paraphrase_group_id string")
+    own = {v: Counter(t for w, t in data if w == v) for v, _ in data}
+    order = sorted(own, key=lambda v: (-own[v].total(), hashlib.sha256(v.encode()).hexdigest()))
+    every, rng, best = Counter(t for _, t in data), random.Random(5), (math.inf, None)
+    for _ in range(400):
+        split = {v: rng.choices(prepare.SPLITS, weights=[0.7, 0.15, 0.15], k=1)[0] for v in order}
+        cost = 0.0
+        for s, ratio in prepare.RATIOS.items():
+            held = sum((own[v] for v in order if split[v] == s), Counter())
+            cost += 100 * ((held.total() - ratio * len(data)) / len(data)) ** 2 + sum(10 * ((held[t] - n * ratio) / n) ** 2 + 1000 * (held[t] == 0) for t, n in every.items())
+        if cost < best[0] - 1e-12:
+            best = (cost, split)
+    assert dict(rows(prepare.assign_splits(q, 400, 5), "video_id", "split")) == best[1]
+    assert rows(prepare.assign_splits(q.limit(0), 10), "video_id") == []
+
+
 def test_jsonl(spark, tmp_path):
     path = str(tmp_path / "segments.jsonl")
     good = {"segment_id": "s", "video_id": "v", "source_path": "p", "start_time": 0.0, "end_time": 2.0, "transcript": "检索", "keyframes": [{"timestamp": 1.0, "path": "f"}]}
