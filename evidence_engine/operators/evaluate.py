@@ -52,21 +52,59 @@ def percentile_linear(value: Column, q: float) -> Column:
 
 
 def percentile_nearest(value: Column, q: float) -> Column:
-    """The value at index round((n - 1) q), half to even. The values of one group meet in a task: for latencies and the like."""
+    """The value at index round((n - 1) q), half to even. The values of one group meet in a task: for a report's few numbers;
+    tables go to percentiles()."""
     ordered = F.array_sort(F.collect_list(value))
     return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+#: Ranges that a group's distinct values are cut into.
+RANGES = 256
+
+
+def percentiles(rows: DataFrame, groups: tuple[str, ...], value: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None) -> DataFrame:
+    """(the groups, a column for each name): exact percentiles of groups of any size; nulls don't count. A linear one lies between
+    the values at floor and ceil((n - 1) q), a nearest one is that at round((n - 1) q), half to even.
+
+    Values are counted first. A sketch of each group's values cuts them into ranges, the counts of the ranges say in which
+    one a wanted place lies, and only those ranges are sorted, each in a task of its own: no task sorts or holds a group."""
+    wanted = [(name, q, True) for name, q in (linear or {}).items()] + [(name, q, False) for name, q in (nearest or {}).items()]
+    keys = [f"_g{k}" for k in range(len(groups))]
+    slim = rows.where(F.col(value).isNotNull()).select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col(value).alias("_v"))
+    counted = slim.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    probes = [k / RANGES for k in range(1, RANGES)]
+    shape = counted.groupBy(*keys).agg(F.percentile_approx("_v", probes, 4 * RANGES).alias("_cuts"), F.sum("_n").alias("_all"))
+    at = lambda q: (F.col("_all") - 1) * F.lit(q)
+    places = [p for _, q, between in wanted for p in ((F.floor(at(q)), F.ceil(at(q))) if between else (F.bround(at(q)),))]
+    shape = shape.withColumn("_want", F.array_distinct(F.array(*(p.cast("long") for p in places))))
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        named = b.select(*(F.col(c).alias(f"{c}_r") if c in on else F.col(c) for c in b.columns))
+        return a.join(named, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on]).drop(*(f"{c}_r" for c in on))
+
+    dealt = met(counted, shape.select(*keys, "_cuts"), keys).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    shares = dealt.groupBy(*keys, "_r").agg(F.sum("_n").alias("_own")).withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0)))
+    shares = met(shares, shape.select(*keys, "_want"), keys)
+    held = shares.withColumn("_want", F.filter("_want", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_own")))).where(F.size("_want") > 0).drop("_own")
+    upto = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = met(dealt, held, [*keys, "_r"]).withColumn("_to", F.col("_before") + F.sum("_n").over(upto))
+    picked = placed.select(*keys, "_v", F.explode(F.filter("_want", lambda p: (p < F.col("_to")) & (p >= F.col("_to") - F.col("_n")))).alias("_p"))
+    by_place = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_found"))  # two for each percentile
+    done = met(by_place, shape.select(*keys, "_all"), keys)
+
+    def result(q: float, between: bool) -> Column:
+        value_at = lambda p: F.element_at("_found", p.cast("long"))
+        if not between:
+            return value_at(F.bround(at(q)))
+        low, high = F.floor(at(q)), F.ceil(at(q))
+        return F.when(low == high, value_at(low).cast("double")).otherwise((high - at(q)) * value_at(low) + (at(q) - low) * value_at(high))
+
+    return done.select(*(F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)), *(result(q, between).alias(name) for name, q, between in wanted))
+
+
 def percentiles_nearest(rows: DataFrame, group: str, value: str, **q: float) -> DataFrame:
-    """(group, a column for each name in q): as percentile_nearest(), for groups of any size. Values are counted first, and
-    what is sorted for a group, its distinct values, spills; nulls don't count."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    in_order = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up_to = counted.withColumn("_to", F.sum("_n").over(in_order))
-    size = counted.groupBy(group).agg(F.sum("_n").alias("_all"))
-    place = lambda at: F.bround((F.col("_all") - 1) * F.lit(at))
-    named = [F.min(F.when(F.col("_to") > place(at), F.col(value))).alias(name) for name, at in q.items()]
-    return up_to.join(size.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(*named)
+    return percentiles(rows, (group,), value, nearest=q)
 
 
 def rank_delta(hits: DataFrame, baseline: DataFrame, relevance: DataFrame, missing: int = 999) -> DataFrame:
@@ -88,4 +126,8 @@ def order_parity(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
 def latency_summary(samples: DataFrame, keys: tuple[str, ...] = ("route",), value: str = "ms") -> DataFrame:
     v = F.col(value)
-    return samples.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *(F.percentile(v, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))), F.max(v).alias("max"), percentile_nearest(v, 0.95).alias("p95_nearest"))
+    plain = samples.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    ranked = percentiles(samples, keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, {"p95_nearest": 0.95})
+    named = ranked.select(*(F.col(k).alias(f"_{k}") for k in keys), "p50", "p95", "p99", "p95_nearest")
+    both = plain.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")  # samples without a value keep their row
+    return both.select(*keys, "n", "mean", "p50", "p95", "p99", "max", "p95_nearest")

@@ -370,13 +370,12 @@ def rank_delta(spark, d):
 
 @query(Q.percentiles_linear)
 def percentiles_linear(spark, d):
-    v = F.col("l_extendedprice")
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*(evaluate.percentile_linear(v, q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))), 4)
+    return rounded(evaluate.percentiles(table(spark, d, "lineitem"), ("l_returnflag",), "l_extendedprice", linear={"p50": 0.5, "p90": 0.9, "p99": 0.99}), 4)
 
 
 @query(Q.percentiles_nearest)
 def percentiles_nearest(spark, d):
-    return evaluate.percentiles_nearest(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", p95=0.95, p50=0.5)
+    return evaluate.percentiles(table(spark, d, "orders"), ("o_orderpriority",), "o_totalprice", nearest={"p95": 0.95, "p50": 0.5})
 
 
 @query(Q.latency_report)

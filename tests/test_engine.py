@@ -397,6 +397,45 @@ def test_percentiles_nearest(spark):
     assert got == {"a": (1.0, 3.0, 9.0), "b": (2.0, 2.0, 2.0), None: (4.0, 4.0, 6.0)}
 
 
+def test_percentiles_of_large_groups(spark):
+    rng = random.Random(4)
+    data = [(g, n % 2, v) for g, n, v in ([("a", n, float(rng.randrange(3000))) for n in range(5000)] + [("b", n, rng.choice((1.0, 1.0, 1.0, 7.5))) for n in range(900)] + [("c", n, rng.expovariate(1) * 1e6) for n in range(1200)] + [(None, 0, None), ("d", 0, -0.5)])]
+    df = spark.createDataFrame(data, "g string, _v int, v double").repartition(7)
+    qs = {f"q{k}": q for k, q in enumerate((0.0, 0.01, 0.333, 0.5, 0.9, 0.95, 0.99, 1.0))}
+    got = evaluate.percentiles(df, ("g", "_v"), "v", qs, {f"n_{k}": q for k, q in qs.items()}).collect()
+    own = {}
+    for g, n, v in data:
+        if v is not None:
+            own.setdefault((g, n), []).append(v)
+    assert {(r["g"], r["_v"]) for r in got} == set(own)
+    for r in got:
+        v = sorted(own[r["g"], r["_v"]])
+        for name, q in qs.items():
+            assert r[name] == pytest.approx(np.quantile(v, q)) and r[f"n_{name}"] == v[round((len(v) - 1) * q)]
+    assert evaluate.percentiles(df.limit(0), ("g",), "v", {"p": 0.5}).collect() == []
+
+
+def test_dense_search_by_blocks(spark):
+    rng = random.Random(2)
+    items = [(i, [rng.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(4)]) for i in range(400)]
+    items = [(i, v) for i, v in items if any(v)] + [(900, None), (901, items[5][1])]
+    asked = [(f"q{i}", [float(rng.choice((-1, 1, 2))) for _ in range(4)]) for i in range(30)] + [("none", None)]
+    corpus = spark.createDataFrame(items, "segment_id long, vector array<float>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    want = {}
+    for q, w in asked:
+        if w:
+            best = sorted((-round(sum(a * b for a, b in zip(unit(w), unit(v))), 9), i) for i, v in items if v)
+            want[q] = [i for _, i in best[:7]]
+    for resident in (1 << 10, 1 << 30):
+        got = {}
+        for r in sorted(retrieval.dense_search(corpus, queries, 7, resident).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["segment_id"])
+        assert got == want
+    assert retrieval.dense_search(corpus.limit(0), queries, 7).count() == retrieval.dense_search(corpus, queries.limit(0), 7).count() == retrieval.dense_search(corpus, queries, 0).count() == 0
+
+
 def test_config(tmp_path):
     from evidence_engine.config import load_config
 
