@@ -8,7 +8,7 @@ counts, every pair, so no link is lost. A pair of tiles returns not its links bu
 at most a row for each fingerprint, and the forests are joined by distributed components.
 
 Exact copies share one fingerprint and are compared once. A pair of tiles is a unit of bounded work; tiles
-of one count are dealt by hash, so none grows beyond its bound. A tile holds a quarter of a million rows of a few
+of one count are dealt by hash, so none grows beyond its bound. A tile holds 65,536 rows of a few
 machine words and is sent to the tiles that it meets, so what is shuffled stays far below the texts until a
 count has very many tiles. Rows meet their class by lookup(): a fingerprint or a class with a large share of all
 rows is not gathered in one task.
@@ -42,43 +42,52 @@ def _lane(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """The hash of each shingle of words, repeats included; of fewer words the whole."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split() if text else []  # bytes.lower() changes A-Z alone
+    if not words:
+        return []
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return [xxh64_intdigest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-1].tolist()]
+    return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
+
+
+def majorities(h: np.ndarray, sizes: np.ndarray, lanes: int) -> np.ndarray:
+    """A row of words for each group of hashes, of these sizes: a bit is 1 if it is in over half of the group's."""
+    ends, out = np.cumsum(sizes), np.zeros((len(sizes), lanes), np.uint64)
+    for k in range(lanes):
+        bits = np.unpackbits(_lane(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for i, (n, end) in enumerate(zip(sizes, ends, strict=True)):
+            ones = bits[end - n : end].sum(axis=0, dtype=np.int32)
+            out[i, k] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def sketches(texts: list[str | None], shingle: int, lanes: int = 1, at_once: int = 1 << 16, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """SimHashes of each text's word shingles, 64 bits a lane (a bit is 1 if it is in over half the hashes), and the
     numbers of shingles; with distinct, of the set of shingles: repeats count once in both."""
-    from xxhash import xxh64_intdigest
-
     out, size = np.zeros((len(texts), lanes), np.uint64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owner: list[int] = []
 
     def settle() -> None:
-        h = np.array(hashes, np.uint64)
-        ends = np.cumsum(size[owner])
-        for k in range(lanes):
-            bits = np.unpackbits(_lane(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for i, end in zip(owner, ends, strict=True):
-                n = size[i]
-                ones = bits[end - n : end].sum(axis=0, dtype=np.int32)
-                out[i, k] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
+        out[owner] = majorities(np.array(hashes, np.uint64), size[owner], lanes)
         hashes.clear()
         owner.clear()
 
     for i, t in enumerate(texts):
-        words = t.encode().lower().split() if t else []  # bytes.lower() changes A-Z alone
-        if not words:
-            continue
-        line = b" ".join(words)
-        if len(words) <= shingle:
-            found = [xxh64_intdigest(line, SEED)]
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = [0, *ends[:-1].tolist()]
-            found = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
+        found = shingle_hashes(t, shingle)
         if distinct:
             found = list(set(found))
-        hashes.extend(found)
-        owner.append(i)
-        size[i] = len(found)
+        if found:
+            hashes.extend(found)
+            owner.append(i)
+            size[i] = len(found)
         if len(hashes) >= at_once:
             settle()
     settle()
@@ -155,7 +164,7 @@ def _links(radius: int):
     return run
 
 
-TILE_ROWS = 1 << 18
+TILE_ROWS = 1 << 16
 
 
 def tile_pairs(held: DataFrame, level: str, value: Column, reach: int, tile_rows: int) -> DataFrame | None:
@@ -207,26 +216,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 # Near copies by similarity. A similarity of 0.8 leaves a distance of about a sixth of the bits, which 64 bits
-# estimate too roughly: the first lane only sieves, and all lanes together decide.
+# estimate too roughly: the first lane only sieves, and all lanes together say which pairs are candidates. Candidates are then
+# looked at: what links them is the similarity of their sets of shingles.
 LANES = 4
 
 
+def shingle_sets(texts: list[str | None], shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's distinct shingle hashes, ascending, and a hash of that set."""
+    from xxhash import xxh64_intdigest
+
+    sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
+    return sets, np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+
+
 def _sketch(shingle: int):
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in text_slices(batches, max_bytes=2 << 20):
+            sets, node = shingle_sets(batch.column("text").to_pylist(), shingle)
+            size = np.array([len(x) for x in sets], np.int64)
+            lanes = np.zeros((len(sets), LANES), np.uint64)
+            if size.any():
+                lanes[size > 0] = majorities(np.concatenate(sets), size[size > 0], LANES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), *(pa.array(lanes[:, k].copy().view(np.int64)) for k in range(LANES)), pa.array(size)], names=["id", "node", *(f"w{k}" for k in range(LANES)), "n"])
+
+    return run
+
+
+def _sets(shingle: int):
+    """Rows with the set of shingles in place of the text, but for rows whose text isn't that of their node."""
+
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in text_slices(batches):
-            lanes, size = sketches(batch.column("text").to_pylist(), shingle, LANES, distinct=True)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(lanes[:, k].copy().view(np.int64)) for k in range(LANES)), pa.array(size)], names=["id", *(f"w{k}" for k in range(LANES)), "n"])
+            sets, node = shingle_sets(batch.column("text").to_pylist(), shingle)
+            own = np.flatnonzero(node == np.asarray(batch.column("node")))
+            kept = batch.select([c for c in batch.schema.names if c != "text"]).take(pa.array(own))
+            yield kept.append_column("shingles", pa.array([sets[i].tobytes() for i in own], pa.binary()))
 
     return run
 
 
 def radii(similarity: float) -> tuple[int, int]:
-    """Bits that the first lane, and that all lanes may differ by, for texts of at least this similarity (of sets of shingles):
-    the expected distance and two or three standard deviations."""
+    """Bits that the first lane, and that all lanes may differ by, for candidates of at least this similarity (of sets of
+    shingles): the expected distance and some three standard deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
     wide = 64 * LANES
-    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share))), int(wide * share + 2 * np.sqrt(wide * share * (1 - share)))
+    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share))), int(wide * share + 2.5 * np.sqrt(wide * share * (1 - share)))
 
 
 def copy_links(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, similarity: float, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -290,23 +325,107 @@ def _copies(similarity: float):
     return run
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(id, component_id) for every row: rows reachable over links of texts whose similarity is estimated at `similarity` or
-    more share the smallest of their ids.
+#: Bytes of shingles, and texts, of one tile of a group of candidates.
+GROUP_BYTES, GROUP_ROWS = 4 << 20, 8192
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, ascending, have this Jaccard similarity. Counted by one sort of both."""
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def verified_links(rows: dict[str, np.ndarray], sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the real links among these candidates; if they are of two tiles, of links between these alone.
 
-    The similarity is that of the sets of shingles, so a text and the same text with passages repeated are alike. Tiles hold
-    texts of like numbers of distinct shingles: such a similarity needs a ratio of sizes no less, so only tiles of the same
-    and the next level are paired."""
+    Pairs of candidates are looked at one after the other, but for those that found links already join: whatever such a pair's
+    similarity, it adds nothing. So copies of one text cost about a look each, not one for each pair."""
+    first, total = radii(similarity)
+    order = np.argsort(rows["n"], kind="stable")
+    n, lanes, part = rows["n"][order], [rows[f"w{k}"].view(np.uint64)[order] for k in range(LANES)], tile[order]
+    two = len(np.unique(part)) > 1
+    label = np.arange(len(order))
+    us, vs = [], []
+    until = np.searchsorted(n, n / similarity + 1e-9, side="right")
+    for i in range(len(order)):
+        j = np.arange(i + 1, until[i])
+        if two:
+            j = j[part[j] != part[i]]
+        j = j[label[j] != label[i]]
+        j = j[np.bitwise_count(lanes[0][j] ^ lanes[0][i]) <= first]
+        j = j[sum(np.bitwise_count(x[j] ^ x[i]).astype(np.int32) for x in lanes) <= total] if len(j) else j
+        for k in j.tolist():
+            if label[k] != label[i] and similar(sets[order[i]], sets[order[k]], similarity):
+                us.append(rows["node"][order[i]])
+                vs.append(rows["node"][order[k]])
+                label[label == label[k]] = label[i]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _verify(similarity: float):
+    fields = ("node", "n", *(f"w{k}" for k in range(LANES)))
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for cell in batch.column("rows"):
+                held = cell.values
+                _, once = np.unique(np.asarray(held.field("node")), return_index=True)  # repeated rows of one id
+                held = held.take(pa.array(once))
+                sets = [np.frombuffer(x, np.uint64) for x in held.field("shingles").to_pylist()]
+                u, v = verified_links({f: np.asarray(held.field(f), np.int64) for f in fields}, sets, np.asarray(held.field("tile")), similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def real_links(texts: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The links (u, v) of `candidates` that their texts' sets of shingles bear out, as spanning forests.
+
+    Candidates are grouped by the components of their links, and only their texts, one a node, are read again. A group is cut
+    into tiles by the bytes of its sets; a pair of tiles is a task's work, which looks at the pairs of candidates in it. A
+    group of one tile, as nearly all are, is shuffled once."""
+    lanes = [f"w{k}" for k in range(LANES)]
+    grouped = connected_components(candidates, "candidates")
+    roots = grouped.select(F.col("root").alias("node"), "root").distinct()
+    held = nodes.where("least is not null").join(grouped.unionByName(roots), "node").select("node", "root", "least", "size", *lanes)
+    held = materialize(held, "candidates")
+    count = F.count(F.lit(1))
+    tiles = held.groupBy("root").agg(F.greatest(F.ceil(F.sum(8 * F.col("size")) / group_bytes), F.ceil(count / GROUP_ROWS)).cast("int").alias("tiles"), count.alias("members"))
+    tiles = materialize(tiles, "candidate-groups")
+    dealt = lookup(held, tiles, "root", "members").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # The texts are shuffled at every size, as how many candidates there are is not bounded.
+    read = texts.join(dealt.withColumnRenamed("least", "id").hint("merge"), "id").select("text", "root", "tile", "tiles", "node", F.col("size").alias("n"), *lanes)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema if f.name != "text")
+    sets = read.mapInArrow(_sets(shingle), f"{kinds}, shingles binary")
+    # A cell is two tiles of a group, or the tile of a group that has only one. Two tiles' cell looks between them, a tile's own cell within.
+    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    row = F.struct("tile", "node", "n", *lanes, "shingles").alias("row")
+    cells = cells.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), row).groupBy("root", "i", "j").agg(F.collect_list("row").alias("rows"))
+    return cells.select("rows").mapInArrow(_verify(similarity), "u long, v long")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_rows: int = TILE_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(id, component_id) for every row: rows reachable over links of texts of this similarity or more share the smallest of their
+    ids. Rows without an id share that of an equal set of shingles, but are linked to no other.
+
+    The similarity is that of the sets of shingles, so a text and the same text with passages repeated are alike. Sketches
+    find candidates: tiles hold texts of like numbers of distinct shingles, since such a similarity needs a ratio of sizes no
+    less, so only tiles of the same and the next level are paired. Their sets decide: no two texts below the similarity
+    are linked. A few pairs above it may not be candidates, as the sketches' distance is an estimate."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lanes = [f"w{k}" for k in range(LANES)]
-    rows = materialize(slim.mapInArrow(_sketch(shingle), "id long, " + "".join(f"{w} long, " for w in lanes) + "n long").withColumn("node", F.xxhash64(*lanes, "n")), "sketches")
+    rows = materialize(slim.mapInArrow(_sketch(shingle), "id long, node long, " + "".join(f"{w} long, " for w in lanes) + "n long"), "sketches")
     nodes = materialize(rows.groupBy("node", *lanes, F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-sketches")
     level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)))).cast("int")
-    held = nodes.select("node", F.col("size").alias("n"), *lanes, level.alias("level"), F.col("node").alias("key"))
+    held = nodes.where("least is not null").select("node", F.col("size").alias("n"), *lanes, level.alias("level"), F.col("node").alias("key"))
     pairs = tile_pairs(held, "level", F.struct("node", "n", *lanes), 1, tile_rows)
     if not pairs:
         return rows.select("id", F.col("id").alias("component_id"))
-    return _named(rows.select("id", "node"), nodes, pairs.mapInArrow(_copies(similarity), "u long, v long"), "node", "near-copies").select("id", "component_id")
+    candidates = pairs.mapInArrow(_copies(similarity), "u long, v long")
+    links = real_links(slim, nodes, candidates, shingle, similarity, group_bytes)
+    return _named(rows.select("id", "node"), nodes, links, "node", "near-copies").select("id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
