@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIONS = ("accept", "reject", "reopen")
+#: What a join sends to every task at most; beyond it the rows meet by key.
+BROADCAST_BYTES = 16 << 20
 
 
 def log_violations(events: DataFrame, known: DataFrame | None = None, candidate_sha256: str | None = None) -> DataFrame:
@@ -74,25 +76,42 @@ def next_candidate(candidates: DataFrame, latest: DataFrame, after: int = -1, qu
     return left.orderBy(F.col("ordinal") <= after, "ordinal").limit(1)
 
 
-def append_decisions(requests: DataFrame, latest: DataFrame, last_sequence: int) -> tuple[DataFrame, DataFrame]:
-    """requests(question_id, action, base_event_id, reason, playback, request_no) -> (events to append, refusals).
+def append_decisions(requests: DataFrame, latest: DataFrame, last_sequence: int, candidates: DataFrame | None = None, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """requests(question_id, action, base_event_id, reason, playback, request_no[, edited_question_id, edited_video_id]) ->
+    (events to append, refusals).
 
-    A request must be made on the question's head event; of several for a question only the first can. Accepting needs
-    playback, reopening a reason and a decision to reopen."""
-    head = latest.select("question_id", F.col("event_id").alias("_head"), F.col("action").alias("_was"))
+    A request must be about a question of candidates(question_id, video_id), leave both ids as they are, and be made on
+    the question's head event; of several for a question only the first can. Accepting needs playback and a row that is not
+    among invalid(request_no), rejecting and reopening need a reason, and reopening needs an event before it."""
+    head = latest.select("question_id", F.col("event_id").alias("_head"))
     first = Window.partitionBy("question_id").orderBy("request_no")
     seen = requests.join(head, "question_id", "left").withColumn("_n", F.row_number().over(first))
+    known = F.lit(True)
+    if candidates is not None:
+        own = candidates.select("question_id", F.col("video_id").alias("_video")).dropDuplicates(["question_id"])
+        seen, known = seen.join(own.withColumn("_known", F.lit(True)), "question_id", "left"), F.col("_known").isNotNull()
+    if invalid is not None:
+        seen = seen.join(invalid.select("request_no", F.lit(True).alias("_invalid")).distinct(), "request_no", "left")
+    changed = F.lit(False)
+    if "edited_question_id" in requests.columns:
+        changed = changed | ~F.col("edited_question_id").eqNullSafe(F.col("question_id"))
+    if "edited_video_id" in requests.columns and candidates is not None:
+        changed = changed | ~F.col("edited_video_id").eqNullSafe(F.col("_video"))
+    action, blank_reason = F.col("action"), F.coalesce(F.trim("reason"), F.lit("")) == ""
     why = (
-        F.when(~F.col("action").isin(*ACTIONS), "400 invalid action")
-        .when((F.col("action") == "accept") & ~F.coalesce("playback", F.lit(False)), "400 accept needs playback")
-        .when((F.col("action") == "reopen") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "400 reopen needs a reason")
-        .when((F.col("action") == "reopen") & ~F.coalesce(F.col("_was").isin("accept", "reject"), F.lit(False)), "409 nothing to reopen")
+        F.when(~known | ~F.coalesce(action.isin(*ACTIONS), F.lit(False)), "400 unknown question or action")
+        .when((action != "accept") & blank_reason, F.concat(F.lit("400 "), action, F.lit(" needs a reason")))
+        .when((action != "reopen") & changed, "400 question_id and video_id must not change")
+        .when((action == "accept") & ~F.coalesce("playback", F.lit(False)), "400 accept needs playback")
+        .when((action == "reopen") & F.col("_head").isNull(), "409 nothing to reopen")
         .when(~F.col("base_event_id").eqNullSafe(F.col("_head")) | (F.col("_n") > 1), "409 stale base event")
     )
+    if invalid is not None:
+        why = why.when((action == "accept") & F.col("_invalid").isNotNull(), "400 accepted annotation is invalid")
     judged = seen.withColumn("refusal", why)
     order = Window.orderBy("request_no")  # one batch of requests of reviewers
     fresh = judged.where("refusal is null").withColumn("sequence", F.lit(last_sequence) + F.row_number().over(order))
-    events = fresh.select(F.sha2(F.concat_ws("|", "question_id", F.col("sequence").cast("string"), "action"), 256).alias("event_id"), "sequence", F.col("_head").alias("previous_event_id"), "question_id", "action", "reason")
+    events = fresh.select(F.sha2(F.concat_ws("|", "question_id", F.col("sequence").cast("string"), "action"), 256).alias("event_id"), "sequence", F.col("_head").alias("previous_event_id"), "question_id", "action", "reason", "request_no")
     return events, judged.where("refusal is not null").select("request_no", "question_id", "refusal")
 
 
@@ -101,8 +120,11 @@ def review_context(candidates: DataFrame, segments: DataFrame, most_frames: int
     segments, or of the video's first two without any, and their first frames."""
     named = candidates.select("question_id", F.posexplode("relevant_segment_ids").alias("at", "segment_id")).join(segments.drop("video_id"), "segment_id")
     first = Window.partitionBy("video_id").orderBy("start_time", "segment_id")
-    two = segments.withColumn("at", F.row_number().over(first) - 1).where(F.col("at") < 2)
-    other = candidates.join(named.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "video_id").join(two, "video_id").drop("video_id")
+    # The limit is on the row number itself, so each task keeps two of a video before texts are shuffled.
+    two = segments.withColumn("at", F.row_number().over(first)).where(F.col("at") <= 2).withColumn("at", F.col("at") - 1)
+    size = two.agg(F.sum(F.octet_length(F.to_json(F.struct(*two.columns))))).first()[0] or 0
+    bare = candidates.join(named.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "video_id")
+    other = bare.join(F.broadcast(two) if size <= BROADCAST_BYTES else two, "video_id").drop("video_id")
     shown = named.unionByName(other.select(named.columns))
     text = F.concat(F.lit("["), F.col("segment_id"), F.lit("] "), F.format_string("%.1f-%.1fs", F.bround("start_time", 1), F.bround("end_time", 1)), F.lit("\nASR: "), F.coalesce("transcript", F.lit("")), F.lit("\n视觉描述: "), F.coalesce("visual_caption", F.lit("")))
     frames = F.coalesce(F.transform("keyframes", lambda k: k["path"]), F.array().cast("array<string>"))

@@ -494,6 +494,22 @@ def next_question(spark, d):
     return review.next_candidate(c, latest, 100, "BUILDING").unionByName(review.next_candidate(c, latest, 10**9)).unionByName(review.next_candidate(c, latest, 20, "unanswerable")).select("question_id")
 
 
+@query(Q.review_requests)
+def review_requests(spark, d):
+    """A request on every user's log, of eight kinds, and some on unknown questions: what is appended and what refused."""
+    latest = review.latest_decisions(decisions(spark, d))
+    kind = F.col("question_id") % 8
+    base = latest.select("question_id", kind.alias("kind"), "event_id")
+    asked = base.unionByName(base.where("question_id % 3 = 0").withColumn("question_id", F.col("question_id") + 10**9))
+    requests = asked.select(
+        "question_id", F.col("question_id").alias("request_no"), F.when(F.col("kind").isin(0, 1, 7), "accept").when(F.col("kind").isin(2, 3, 4), "reject").otherwise("reopen").alias("action"), F.when(F.col("kind") == 4, F.col("event_id") - 1).otherwise(F.col("event_id")).alias("base_event_id"),
+        F.when(F.col("kind").isin(2, 5), " ").otherwise("seen").alias("reason"), (F.col("kind") != 1).alias("playback"), F.col("question_id").alias("edited_question_id"), F.when(F.col("kind") == 7, F.lit("other")).otherwise("own").alias("edited_video_id"),
+    )
+    events, refused = review.append_decisions(requests, latest, 100, latest.select("question_id", F.lit("own").alias("video_id")))
+    made = events.select("question_id", F.lit("").alias("refusal"), F.col("sequence").cast("long").alias("sequence"), F.col("previous_event_id"))
+    return made.unionByName(refused.select("question_id", "refusal", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("previous_event_id")))
+
+
 @query(Q.review_chain_violations)
 def review_chain_violations(spark, d):
     # The log of one reviewer's session a user: event ids by time, every 97th event names another predecessor and every

@@ -198,6 +198,9 @@ supplement_totals = f"""{planned(2)} SELECT count(*) AS new_frames, sum(len(ids)
 
 DECISIONS = """dec AS (SELECT user_id AS question_id, event_id, row_number() OVER w AS sequence, lag(event_id) OVER w AS previous_event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'accept' WHEN event_type = 'error' THEN 'reject' ELSE 'reopen' END AS action FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     lt AS (SELECT question_id, arg_max(event_id, sequence) AS event_id, arg_max(action, sequence) AS action, max(sequence) AS sequence FROM dec GROUP BY 1)"""
+review_requests = f"""WITH {DECISIONS}, a AS (SELECT question_id, question_id % 8 AS kind, event_id FROM lt UNION ALL SELECT question_id + 1000000000, question_id % 8, event_id FROM lt WHERE question_id % 3 = 0),
+    r AS (SELECT a.*, CASE WHEN lt.question_id IS NULL THEN '400 unknown question or action' ELSE ['', '400 accept needs playback', '400 reject needs a reason', '', '409 stale base event', '400 reopen needs a reason', '', '400 question_id and video_id must not change'][kind + 1] END AS refusal FROM a LEFT JOIN lt USING (question_id))
+    SELECT question_id, refusal, CASE WHEN refusal = '' THEN 100 + row_number() OVER (PARTITION BY refusal ORDER BY question_id) END AS sequence, CASE WHEN refusal = '' THEN event_id END AS previous_event_id FROM r"""
 latest_decision = f"WITH {DECISIONS} SELECT question_id, event_id, action, sequence FROM lt"
 review_progress = f"WITH {DECISIONS} SELECT count(*) FILTER (action = 'accept') AS accepted, count(*) FILTER (action = 'reject') AS rejected, count(*) FILTER (action IS NULL OR action = 'reopen') AS pending, count(*) AS total FROM customer LEFT JOIN lt ON question_id = c_custkey"
 export_counts = f"WITH {DECISIONS} SELECT count(*) FILTER (action = 'accept') AS accepted, count(*) FILTER (action = 'reject') AS rejected, count(*) FILTER (action IS NULL) AS pending, count(*) FILTER (action = 'accept') >= 10 AS formal_metric_eligible FROM customer LEFT JOIN lt ON question_id = c_custkey"

@@ -217,12 +217,67 @@ def test_log_integrity(spark, change, message):
 
 def test_append(spark):
     latest = review.latest_decisions(log(spark, ("q", "accept")))
-    asked = spark.createDataFrame([("q", "reopen", "e1", "again", None, 1), ("q", "reject", "e1", "", None, 2), ("r", "accept", None, "", True, 3), ("s", "accept", None, "", None, 4), ("t", "reopen", None, "x", None, 5), ("u", "reject", "e7", "", None, 6)], "question_id string, action string, base_event_id string, reason string, playback boolean, request_no int")
+    asked = spark.createDataFrame([("q", "reopen", "e1", "again", None, 1), ("q", "reject", "e1", "why", None, 2), ("r", "accept", None, "", True, 3), ("s", "accept", None, "", None, 4), ("t", "reopen", None, "x", None, 5), ("u", "reject", "e7", "why", None, 6)], "question_id string, action string, base_event_id string, reason string, playback boolean, request_no int")
     events, refused = review.append_decisions(asked, latest, 1)
     assert rows(events.orderBy("sequence"), "question_id", "sequence", "previous_event_id") == [("q", 2, "e1"), ("r", 3, None)]
     assert {n: w[:3] for n, w in rows(refused, "request_no", "refusal")} == {2: "409", 4: "400", 5: "409", 6: "409"}
 
 
+def test_append_refuses(spark):
+    latest = review.latest_decisions(log(spark, ("q", "accept"), ("q", "reopen")))
+    fields = "question_id string, action string, base_event_id string, reason string, playback boolean, request_no int, edited_question_id string, edited_video_id string"
+    cases = [
+        ("q", "reject", "e2", " ", None, 1, "q", "v", "400 reject needs a reason"), ("zz", "reject", None, "x", None, 2, "zz", "v", "400 unknown question or action"), ("r", "drop", None, "x", None, 3, "r", "v", "400 unknown question or action"),
+        ("r", "reject", None, "x", None, 4, "q", "v", "400 question_id and video_id must not change"), ("s", "accept", None, "", True, 5, "s", "w", "400 question_id and video_id must not change"), ("t", "accept", None, "", True, 6, "t", "v", "400 accepted annotation is invalid"),
+        ("u", "accept", None, "", False, 7, "u", "v", "400 accept needs playback"), ("w", "reopen", None, "x", None, 8, "w", "v", "409 nothing to reopen"), ("x", None, None, "x", None, 9, "x", "v", "400 unknown question or action"), ("p", "reject", None, "x", None, 10, "p", "v", None),
+    ]
+    asked = spark.createDataFrame([c[:-1] for c in cases], fields)
+    candidates = spark.createDataFrame([(i, "v") for i in "pqrstuwx"], "question_id string, video_id string")
+    events, refused = review.append_decisions(asked, latest, 2, candidates, spark.createDataFrame([(6,)], "request_no int"))
+    assert dict(rows(refused, "request_no", "refusal")) == {c[5]: c[-1] for c in cases if c[-1]}
+    assert rows(events, "question_id", "sequence", "action") == [("p", 3, "reject")]
+    again, refused = review.append_decisions(spark.createDataFrame([("q", "reopen", "e2", "x", None, 1)], fields.split(", edited")[0]), latest, 2)
+    assert again.count() == 1  # a reopened question may be reopened
+
+
+def test_review_log(spark, tmp_path):
+    """Accept, export, reopen, a stale tab, a lost race, and the fold from a snapshot."""
+    from evidence_engine.sources import review_log
+
+    segments = spark.createDataFrame([("s1", "v", 0.0, 20.0, "He said hello there.", [(5.0,)])], "segment_id string, video_id string, start_time double, end_time double, transcript string, keyframes array<struct<timestamp: double>>")
+    open_ = [question(question_id=f"q{n}", verification_status="generated_candidate", annotation_source="model", reviewer_id="drop", review_event_id="drop", reviewed_at="drop") for n in range(3)]
+    lines = spark.createDataFrame([(n, json.dumps(q)) for n, q in enumerate(open_, 1)], "line long, raw string")
+    held = review_log.ReviewLog(spark, str(tmp_path / "log"), lines, segments)
+    accept = lambda n, base=None, **change: {"question_id": f"q{n}", "action": "accept", "base_event_id": base, "reason": "played", "edited": open_[n] | change, "playback": True}
+    (one,), refused = held.decide([accept(0), accept(1, answer=" "), accept(0)], "ann")
+    assert one["sequence"] == 1 and refused == {1: "400 accepted annotation is invalid", 2: "409 stale base event"}
+    exported = [json.loads(r["raw"]) for r in held.export().collect()]
+    assert [(q["question_id"], q["review_event_id"], q["reviewer_id"], q["verification_status"]) for q in exported] == [("q0", one["event_id"], "ann", "verified")]
+    assert held.snapshot() == 1
+    reopen = {"question_id": "q0", "action": "reopen", "base_event_id": one["event_id"], "reason": "again"}
+    (two,), refused = held.decide([reopen], "bob")
+    assert (two["sequence"], two["previous_event_id"], refused) == (2, one["event_id"], {}) and held.export().count() == 0
+    assert held.decide([reopen], "tab")[1] == {0: "409 stale base event"}
+    # Two writers, the second of which read the log before the first wrote: it loses the number, and is judged anew.
+    other, put = review_log.ReviewLog(spark, str(tmp_path / "log"), lines, segments), review_log.ReviewLog._put
+    racing = [True]
+
+    def late(self, number, text):
+        if racing.pop():
+            racing.append(False)
+            assert len(other.decide([accept(1)], "first")[0]) == 1
+        else:
+            racing.append(False)
+        return put(self, number, text)
+
+    held._put = late.__get__(held)
+    made, refused = held.decide([accept(1) | {"reason": "late"}, {"question_id": "q2", "action": "reject", "reason": "vague", "edited": open_[2]}], "second")
+    assert [(e["question_id"], e["sequence"]) for e in made] == [("q2", 4)] and refused == {0: "409 stale base event"}
+    assert held.snapshot() == 4 and sorted(rows(held.latest(), "question_id", "action", "sequence")) == [("q0", "reopen", 2), ("q1", "accept", 3), ("q2", "reject", 4)]
+    assert held.violations().count() == 0
+    assert not put(held, 4, "x") and sorted(p.name for p in (tmp_path / "log" / "events").iterdir() if not p.name.startswith(".")) == [f"{n:012}.json" for n in (1, 2, 3, 4)]
+
+
 def question(**change):
     q = {
         "question_id": "q1", "question": "what?", "answer": "yes", "answer_aliases": ["yes"], "question_type": "audio", "video_id": "v", "relevant_segment_ids": ["s1"], "evidence_start": 1.0, "evidence_end": 8.0,
