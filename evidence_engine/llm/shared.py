@@ -73,10 +73,10 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, most: int =
     return rows.where(~is_hot).join(values.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(values.where(is_hot)), key))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], max_rows: int = 1024, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches (text in the column "text") so that no slice holds more than max_bytes, single rows aside."""
+def text_slices(batches: Iterator[pa.RecordBatch], max_rows: int = 1024, max_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches (text in `column`) so that no slice holds more than max_bytes, single rows aside."""
     for batch in batches:
-        size = np.asarray(pc.binary_length(batch.column("text")).fill_null(0))
+        size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
         at = 0
         while at < len(size):
             ends = np.cumsum(size[at : at + max_rows])

@@ -1,14 +1,15 @@
 """WARC archives through a chunked record table.
 
-Writing: payloads are cut into rows of a chunk table (record, chunk number, at most CHUNK characters) where they are read,
-before anything else handles them. A record of one chunk is one archive record; of several, the first is a response and
+Writing: payloads are cut into rows of a chunk table (record, chunk number, at most CHUNK characters) by the task that reads
+them, in one pass over each, before anything is shuffled, joined or sorted; only chunks travel. A record of one chunk is one archive record; of several, the first is a response and
 each other a segment of it (the format's continuation records). A segment carries the digest of the payload so far, which
 runs on from chunk to chunk; the last one must meet the digest that was planned with. Archives are gzip text files of
 Spark's writer, whose line separator is the end of a record; they reach any store that Spark reaches. Each begins with a
 warcinfo record; a file is one gzip member, so it is read from its beginning.
 
-Planning: digests, not payloads, meet by digest (those of pages that recur very often by broadcast). Payloads are shuffled
-once, by page and digest, so copies of one page under many ids are spread.
+Planning: digests, not payloads, meet by digest (those of pages that recur very often by broadcast). What a record revisits
+is then joined to its chunks by page and digest, which is the one shuffle of chunks; copies of one page under many ids
+are spread by it. The chunks of a record that revisits another are dropped but for the first, which loses its text.
 
 Reading: an archive is one unsplit stream of lines; a parser follows the content lengths and gives one row
 for each record and chunk number, with the bytes and the digest so far; the row of the last chunk has those of
@@ -28,12 +29,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.shared import lookup, materialize
+from evidence_engine.llm.shared import lookup, materialize, text_slices
 
 END = "\r\n\r\n"
 #: Characters of a chunk, a megabyte at most.
@@ -42,27 +44,61 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, response_id, response_url): the response's are null unless the record revisits
-    another."""
+@dataclass
+class Plan:
+    """pages(page_id, url, payload), and for those that revisit another revisits(own_id, own_digest, response)."""
+
+    pages: DataFrame
+    revisits: DataFrame
+
+
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> Plan:
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    base = base.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    slim = materialize(base.where(F.col("bytes") >= least_bytes).select("page_id", "url", "digest"), "digests")
+    slim = materialize(base.where(F.octet_length("payload") >= least_bytes).select("page_id", "url", F.sha1(F.col("payload").cast("binary")).alias("digest")), "digests")
     shared = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "url")).alias("response"))
     shared = materialize(shared.where("n > 1 and response.page_id is not null"), "shared-digests")
     again = lookup(slim.select("page_id", "digest"), shared, "digest", "n").where("not page_id <=> response.page_id")
-    again = again.groupBy(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.max("response").alias("response"))
-    found = base.join(again.hint("merge"), base.page_id.eqNullSafe(again.own_id) & (base.digest == again.own_digest), "left")
-    return found.select("page_id", "url", "payload", "digest", "bytes", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"))
+    return Plan(base, again.groupBy(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.max("response").alias("response")))
+
+
+_CUT = [("page_id", pa.int64()), ("url", pa.string()), ("record", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("chunk_number", pa.int32()), ("chunks", pa.int32()), ("part", pa.string())]
+
+
+def _cut(chunk_chars: int):
+    schema = pa.schema(_CUT)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in text_slices(batches, column="payload"):
+            rows, held = [], 0
+            for page_id, url, payload, record in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "record")), strict=True):
+                page_id, url, record, text = page_id.as_py(), url.as_py(), record.as_py(), payload.as_py()
+                starts = range(0, max(1, len(text)), chunk_chars)
+                digest, size = hashlib.sha1(), 0
+                for at in starts:
+                    raw = text[at : at + chunk_chars].encode()
+                    digest.update(raw)
+                    size += len(raw)
+                digest = digest.hexdigest()
+                for number, at in enumerate(starts, 1):
+                    rows.append((page_id, url, record, digest, size, number, len(starts), text[at : at + chunk_chars]))
+                    held += len(rows[-1][-1])
+                    if held > 2 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
-def chunk_rows(records: DataFrame, chunk_chars: int = CHUNK) -> DataFrame:
-    """The rows of plan_records() with (chunk_number, chunks, part) in place of the payload, a row for each chunk in order. A
-    record that revisits another has one chunk without a part."""
-    chunks = F.when(F.col("response_id").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.char_length("payload") / chunk_chars))).cast("int")
-    cut = records.withColumn("chunks", chunks).withColumn("chunk_number", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
-    part = F.when(F.col("response_id").isNull(), F.substring("payload", (F.col("chunk_number") - 1) * chunk_chars + 1, F.lit(chunk_chars)))
-    return cut.select("page_id", "url", "digest", "bytes", "response_id", "response_url", "chunk_number", "chunks", part.alias("part"))
+def chunk_rows(plan: Plan, chunk_chars: int = CHUNK) -> DataFrame:
+    """A row for each chunk, those of a record side by side and in order: (page_id, url, digest, bytes, response_id, response_url,
+    chunk_number, chunks, part). A record that revisits another has one chunk without a part."""
+    cut = plan.pages.withColumn("record", F.monotonically_increasing_id()).mapInArrow(_cut(chunk_chars), "page_id long, url string, record long, digest string, bytes long, chunk_number int, chunks int, part string")
+    met = cut.join(plan.revisits.hint("merge"), cut.page_id.eqNullSafe(F.col("own_id")) & (cut.digest == F.col("own_digest")), "left")
+    again = F.col("response").isNotNull()
+    kept = met.where(~again | (F.col("chunk_number") == 1)).sortWithinPartitions("page_id", "digest", "record", "chunk_number")
+    return kept.select("page_id", "url", "digest", "bytes", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"), "chunk_number", F.when(again, 1).otherwise(F.col("chunks")).alias("chunks"), F.when(~again, F.col("part")).alias("part"))
 
 
 def _record(kind: str, rid: str, fields: list[tuple[str, object]], block: str) -> str:
@@ -132,8 +168,8 @@ def _writer(date: str, run_id: str):
     return run
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", chunk_chars: int = CHUNK) -> None:
-    """Writes the rows of plan_records() as archives under path."""
+def write_archives(records: Plan, path: str, date: str = "2024-01-01T00:00:00Z", chunk_chars: int = CHUNK) -> None:
+    """Writes what plan_records() planned as archives under path."""
     lines = chunk_rows(records, chunk_chars).mapInArrow(_writer(date, uuid.uuid4().hex), "value string")
     lines.write.option("lineSep", END).option("compression", "gzip").text(path)
 

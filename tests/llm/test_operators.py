@@ -439,6 +439,25 @@ def test_warc_chunks_of_production_size(spark):
     assert [r["digest_so_far"] for r in chunks] == [hashlib.sha1(raw[: size * k]).hexdigest() for k in (1, 2, 3, 4)] and chunks[-1]["bytes_so_far"] == len(raw)
 
 
+def test_warc_of_many_chunks(spark):
+    """Work is linear in a payload, and no row holds more than a chunk."""
+    long = "".join(f"{k} é\r\n" for k in range(120_000))
+    size = len(long) // 64 + 1
+    df = spark.createDataFrame([(1, "u", long), (2, "u", "x" + long), (3, "u", long)], "page_id long, url string, html string")
+    plan = warc_chunks.plan_records(df)
+    found = warc_chunks.chunk_rows(plan, size).collect()
+    assert sorted((r["page_id"], r["chunk_number"]) for r in found) == [(1, 1), *((p, k) for p in (2, 3) for k in range(1, 65))] and max(len(r["part"] or "") for r in found) == size
+    path = fresh_path(spark, "warc-many")
+    warc_chunks.write_archives(plan, path, chunk_chars=size)
+    check_warc(rows(warc_chunks.read_records(spark, path)), [(1, long), (2, "x" + long), (3, long)])
+    parts = warc_chunks.read_chunks(spark, path, with_payload=True).where("page_id = 2").orderBy("chunk_number").collect()
+    assert len(parts) == 64 and b"".join(r["payload"] for r in parts) == ("x" + long).encode()
+    whole = hashlib.sha1()
+    for r in parts:
+        whole.update(r["payload"])
+        assert r["digest_so_far"] == whole.hexdigest()
+
+
 def test_warc_hard(spark):
     big = "zeile é " * 500 + "\r\n\r\nWARC/1.0\r\n" + "漢字" * 700
     data = [(1, "http://a b\n", big), (2, None, big), (3, "http://c", "x" * 999), (4, "http://c", "x" * 999), (5, "", None), (6, "u", ""), (7, "u", "y" * 5000), (7, "u", "y" * 5000), (8, "u", "y" * 5000), (None, "u", big), (9, "u", "\n" * 3000), (10, "u", "\r\n\r\n" * 800), (11, "u", "tail\n"), (12, "u", "\n")]
