@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import blank, searchable_text, strip, token_overlap, tokenize
-from evidence_engine.operators import retrieval
+from evidence_engine.operators import adapters, retrieval
 
 # Fixed value: the answer when the evidence doesn't do.
 ABSTENTION = "根据当前视频内容无法确定。"
@@ -24,10 +24,10 @@ class Retriever(Protocol):
         """queries(query_id, query) -> (query_id, segment_id, score, rank)."""
 
 
-#: (query, searchable text) -> score; a Column expression or a pandas UDF.
-Reranker = Callable[[Column, Column], Column]
-#: (segment_id, start, end, transcript, caption) of the best segment -> answer.
-Generator = Callable[[Column, Column, Column, Column, Column], Column]
+#: (query, searchable text) -> score as a Column expression, or the recipe of a model that scores pairs.
+Reranker = Callable[[Column, Column], Column] | adapters.Recipe
+#: (segment_id, start, end, transcript, caption) of the best segment -> answer, or how a model is asked for it.
+Generator = Callable[[Column, Column, Column, Column, Column], Column] | adapters.Generation
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,11 @@ class Pipeline:
         asked = asked.withColumn("query", F.when(F.coalesce("query", F.lit("")) != "", F.col("query")).otherwise(F.raise_error(F.lit("query must not be empty"))))
         fused = retrieval.fuse(self.recall(asked), self.rrf_k, self.fusion_top_k).select("query_id", "segment_id", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank"))
         text = searchable_text(F.col("transcript"), F.col("visual_caption"))
-        scored = fused.join(self._built(), "segment_id").join(asked, "query_id").withColumn("rerank_score", self.reranker(F.col("query"), text))
+        if isinstance(self.reranker, adapters.Recipe):
+            fused = adapters.rerank_pairs(fused, self._built(), asked, self.reranker)
+        scored = fused.join(self._built(), "segment_id").join(asked, "query_id")
+        if not isinstance(self.reranker, adapters.Recipe):
+            scored = scored.withColumn("rerank_score", self.reranker(F.col("query"), text))
         w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc(F.round("fused_score", 9)), "fused_rank")
         return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= self.rerank_top_k)
 
@@ -135,8 +139,14 @@ class Pipeline:
         enough = first["rerank_score"] >= self.minimum_rerank_score if self.allow_abstention else first.isNotNull()
         sure = F.coalesce(enough, F.lit(False))
         none = F.slice("evidence", 1, 0)
-        told = self.generator(*(first[c] for c in ("segment_id", "start_time", "end_time", "transcript", "visual_caption")))
         out = queries.select("query_id", "query").join(found, "query_id", "left")
+        if isinstance(self.generator, adapters.Generation):
+            shown = best if "keyframes" in best.columns else best.withColumn("keyframes", F.lit(None).cast("array<struct<path:string>>"))
+            shown = shown.join(found.where(sure).select("query_id"), "query_id", "left_semi")  # what abstains isn't asked
+            out = out.join(adapters.generate(adapters.grounded_prompts(shown), self.generator).select("query_id", F.col("answer").alias("_told")), "query_id", "left")
+            told = F.col("_told")
+        else:
+            told = self.generator(*(first[c] for c in ("segment_id", "start_time", "end_time", "transcript", "visual_caption")))
         kind = found.schema["evidence"].dataType.simpleString()
         return out.select("query_id", "query", F.when(sure, told).otherwise(ABSTENTION).alias("answer"), (~sure).alias("abstained"), F.when(sure, F.col("evidence")).otherwise(F.coalesce(none, F.array().cast(kind))).alias("evidence"))
 
@@ -173,14 +183,3 @@ def demo_segments(spark: SparkSession) -> DataFrame:
 
 def predictions(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", "answer", "abstained", F.transform("evidence", lambda e: e["segment_id"]).alias("evidence_ids"))
-
-
-def vector_encoder(model: Callable[[Iterable[str]], Iterable[Iterable[float]]]):
-    """A pandas UDF of a model that maps texts to vectors, loaded once for each worker."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in model(batch.tolist())])
-
-    return pandas_udf(run, "array<double>")

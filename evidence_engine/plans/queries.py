@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text, vectors
-from evidence_engine.operators import ask, audit, evaluate, prepare, retrieval, review, segment, validate
+from evidence_engine.operators import adapters, ask, audit, evaluate, prepare, retrieval, review, segment, validate
 from evidence_engine.plans import sql as Q
 from evidence_engine.sources import index
 
@@ -213,6 +213,13 @@ def token_overlap_rerank(spark, d):
     return hits.select("query_id", "segment_id", F.round(ask.overlap_reranker(F.col("query"), F.col("text")), 6).alias("rerank_score"))
 
 
+@query(Q.model_rerank)
+def model_rerank(spark, d):
+    """The model's three best of each question's twenty, with a model that hashes the pair."""
+    best = adapters.rerank(bm25(spark, d).select("query_id", "segment_id", "rank"), document_segments(spark, d), questions(spark, d), adapters.hashing_reranker(), 3)
+    return rounded(best.select("query_id", "segment_id", "rank", "rerank_score", "place"))
+
+
 @query(Q.dense_topk)
 def dense_topk(spark, d):
     return rounded(retrieval.dense_search(vector_rows(spark, d), vector_queries(spark, d), 20))
@@ -315,9 +322,7 @@ def document_segments(spark, d) -> DataFrame:
 
 
 def pipeline(spark, d, minimum) -> ask.Pipeline:
-    p = ask.Pipeline([ask.Lexical()], minimum_rerank_score=minimum)
-    p.segments = document_segments(spark, d)
-    return p
+    return ask.Pipeline([ask.Lexical()], minimum_rerank_score=minimum).build(document_segments(spark, d))
 
 
 @query(Q.ask_batch)

@@ -75,6 +75,10 @@ lexical_bm25_topk = f"WITH {bm25()} SELECT query_id, segment_id, round(score, 6)
 overlap_topk = f"WITH {bm25()}, {OVERLAP} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM ov"
 token_overlap_rerank = f"""WITH {bm25()} SELECT b.query_id, b.segment_id, round(len(list_intersect(list_distinct(q.toks), {tok('documents.text')}))::DOUBLE / len(list_distinct(q.toks)), 6) AS rerank_score
     FROM bm b JOIN q ON q.item_id = b.query_id JOIN documents ON documents.doc_id = b.segment_id"""
+model_rerank = rf"""WITH {bm25()}, pr AS (SELECT b.query_id, b.segment_id, b.rank, '<Query>: ' || q.query || chr(10) || '<Document>: Segment ID: ' || b.segment_id || chr(10) || 'Time: ' || printf('%.3f', (b.segment_id % 100)::DOUBLE) || '-' || printf('%.3f', (b.segment_id % 100) + 20.25) || ' seconds' || chr(10) || x.said AS pair
+    FROM bm b JOIN q ON q.item_id = b.query_id JOIN (SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10) || chr(9)) <> '' THEN '[ASR] ' || trim(text, ' ' || chr(10) || chr(9)) ELSE '' END AS said FROM documents) x ON x.doc_id = b.segment_id),
+    s AS (SELECT *, (('0x' || substr(md5(pair), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS score FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS place FROM s)
+    SELECT query_id, segment_id, rank, round(score, 6) AS rerank_score, place FROM r WHERE place <= 3"""
 dense_topk = f"WITH {dense('x', 'true', 'vec_id % 50 = 0', 20)} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM x"
 l2_normalize_check = "SELECT vec_id AS segment_id, round(3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS before, 1.0::DOUBLE AS after FROM embeddings"
 MEMBERS = "m AS (SELECT vec_id, vec_id // 4 AS segment_id FROM embeddings UNION ALL SELECT vec_id, vec_id // 4 + 1 FROM embeddings WHERE vec_id % 4 = 3)"

@@ -4,13 +4,14 @@ import hashlib
 import json
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import ask, audit, evaluate, prepare, retrieval, review, segment, validate
+from evidence_engine.operators import adapters, ask, audit, evaluate, prepare, retrieval, review, segment, validate
 from evidence_engine.sources import jsonl, manifest, media
 
 
@@ -111,6 +112,104 @@ def test_ask(spark):
     assert ask.predictions(two.ask_batch(spark.createDataFrame([(1, "host introduces")], "query_id long, query string"))).first()["evidence_ids"][0] == "demo_0000"
 
 
+class Counted:
+    """A model that leaves a line in a file for each time it is loaded, called and given up."""
+
+    def __init__(self, path):
+        import os
+
+        self.path, self.pid = path, os.getpid()
+        self.say("load")
+
+    def say(self, what):
+        with open(self.path, "a") as f:
+            f.write(f"{what} {self.pid}\n")
+
+    def encode(self, texts, prompt):
+        self.say(f"call {len(texts)} {sum(map(len, texts))}")
+        return [[float(len(t)), float(prompt == "query")] for t in texts]
+
+    def logits(self, pairs):
+        return [(0.0, float("yes" in p)) for p in pairs]
+
+    def infer(self, prompt, images):
+        self.say("infer")
+        return f"{len(images)} {','.join(images)} | {prompt}"
+
+    def unload(self):
+        self.say("unload")
+
+
+def recipe(path, **bounds):
+    """A recipe whose model the workers know without this module."""
+    source = Counted
+
+    def load():
+        return source(path)
+
+    return adapters.Recipe(f"counted-{path}", load, **bounds)
+
+
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    from pyspark import cloudpickle as own
+
+    own.register_pickle_by_value(sys.modules[__name__])
+    try:
+        said = tmp_path / "said"
+        texts = [(f"s{n:03}", "x" * (n % 37 + 1)) for n in range(200)] + [("b1", " "), ("b2", None)]
+        df = spark.createDataFrame(texts, "segment_id string, text string").repartition(12)
+        got = dict(rows(adapters.encode_texts(df, recipe(str(said), most_rows=5, most_characters=60)), "segment_id", "vector"))
+        assert got == {i: [float(len(t)), 0.0] for i, t in texts if t and t.strip()}
+        lines = [x.split() for x in said.read_text().splitlines()]
+        loads, workers = [x[1] for x in lines if x[0] == "load"], {x[-1] for x in lines}
+        assert len(loads) == len(set(loads)) == len(workers) < 12
+        assert all(int(x[1]) <= 5 and (int(x[2]) <= 60 or x[1] == "1") for x in lines if x[0] == "call")
+        assert adapters.encode_texts(df.limit(1), recipe(str(tmp_path / "p")), prompt="query").first()["vector"][1] == 1.0
+        freed = tmp_path / "freed"
+        adapters.encode_texts(df, recipe(str(freed), release=True)).count()
+        lines = [x.split()[0] for x in freed.read_text().splitlines()]
+        assert lines.count("load") == lines.count("unload") > 0
+
+        paths = []
+        for n in range(9):
+            (tmp_path / f"f{n}.jpg").write_text("")
+            paths.append(str(tmp_path / f"f{n}.jpg"))
+        (tmp_path / "f1.jpg").unlink()
+        kind = "query_id int, query string, place int, segment_id string, start_time double, end_time double, transcript string, visual_caption string, keyframes array<struct<path:string>>"
+        evidence = spark.createDataFrame([(1, "who?", 2, "b", 5.0, 9.25, "second", "", [(p,) for p in paths[4:]]), (1, "who?", 1, "a", 0.0, 4.0, "first", "seen", [(p,) for p in paths[:4]]), (2, "what?", 1, "c", 0.0, 1.0, "third", None, None)], kind)
+        answers = dict(rows(adapters.generate(adapters.grounded_prompts(evidence), adapters.Generation(recipe(str(tmp_path / "g"), release=True))), "query_id", "answer"))
+        assert answers[1].split(" | ")[0] == "6 " + ",".join([paths[0], *paths[2:7]]) and answers[2].startswith("0 ")
+        assert answers[1].index("[a] Time 0.0-4.0 seconds") < answers[1].index("[b] Time 5.0-9.2 seconds") and "Question: who?" in answers[1]
+        frames = spark.createDataFrame([(p,) for p in paths[2:4]], "path string")
+        assert [r["caption"][:2] for r in adapters.caption_frames(frames, adapters.Generation(recipe(str(tmp_path / "c")))).collect()] == ["1 ", "1 "]
+        with pytest.raises(Exception, match="f1.jpg"):
+            adapters.caption_frames(spark.createDataFrame([(paths[1],)], "path string"), adapters.Generation(recipe(str(tmp_path / "c")))).collect()
+        made = ask.Pipeline([ask.Lexical()], reranker=recipe(str(tmp_path / "r")), generator=adapters.Generation(recipe(str(tmp_path / "a")))).build(ask.demo_segments(spark))
+        best = made.ask("which retrieval system, yes?")
+        assert not best["abstained"] and "[demo_0000]" in best["answer"] and abs(best["evidence"][0]["rerank_score"] - 1 / (1 + math.exp(-1))) < 1e-12
+    finally:
+        own.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def test_unwrap():
+    from types import SimpleNamespace as N
+
+    hidden = np.arange(12.0).reshape(2, 3, 2)
+    assert adapters.unwrap(N(image_embeds=1, text_embeds=2)) == 1 and adapters.unwrap(N(image_embeds=None, text_embeds=2)) == 2 and adapters.unwrap(N(pooler_output=3)) == 3
+    assert adapters.unwrap(N(pooler_output=None, last_hidden_state=hidden)).tolist() == [[0.0, 1.0], [6.0, 7.0]] and adapters.unwrap([5]) == [5]
+    assert adapters.yes_probability(0.0, 0.0) == 0.5 and adapters.yes_probability(0.0, 1000.0) == 1.0 and adapters.yes_probability(1000.0, 0.0) == 0.0
+
+
+def test_containing(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "x1", "été", "-", "e.g.")) for _ in range(30)) for _ in range(60)] + ["", None, "alphabet soup"]
+    items = [t[a : a + rng.randint(1, 25)] for t in texts[:60] for a in (rng.randrange(60),)] + ["", None, "nowhere to be found here", "alpha", "-", " beta ", "lpha be"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "segment_id long, text string").repartition(3)
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id long, text string")
+    want = sorted((q, s) for q, i in enumerate(items) for s, t in enumerate(texts) if i is not None and t is not None and i in t)
+    assert sorted(rows(retrieval.containing(corpus, asked), "query_id", "segment_id")) == want
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "b", 1)], "query_id int, segment_id string, rank int")
     rel = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, segment_id string")
