@@ -210,6 +210,50 @@ def test_containing(spark):
     assert sorted(rows(retrieval.containing(corpus, asked), "query_id", "segment_id")) == want
 
 
+def test_least_of_component(spark):
+    rng = random.Random(1)
+    links = [(f"n{rng.randrange(300):03}", f"n{rng.randrange(300):03}") for _ in range(170)] + [(f"p{k:03}", f"p{k + 1:03}") for k in range(90)] + [("hub", f"x{k}") for k in range(200)]
+    least = {}
+    for a, b in links:
+        if a != b:
+            least |= {a: a, b: b}
+    while any(least[a] != least[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(rows(prepare.least_of_component(spark.createDataFrame(links, "a string, b string")), "node", "least")) == least
+    assert prepare.least_of_component(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_paraphrase_groups(spark):
+    """Later questions take groups over, as they do when the set is walked in order."""
+    rng = random.Random(6)
+    q = [(f"q{n:02}", n) for n in range(60)]
+    near = {n: sorted(rng.sample(range(n), min(n, rng.choice((0, 0, 0, 1, 1, 2, 3))))) for _, n in q}
+    group = {}
+    for name, n in q:
+        before = [f"q{e:02}" for e in near[n]]
+        if before:
+            own = next((group[e] for e in before if e in group), f"para_{before[0]}")
+            for e in [name, *before]:
+                group[e] = own
+    pairs = spark.createDataFrame([(f"q{n:02}", f"q{e:02}", 0.9) for n, found in near.items() for e in found], "later string, earlier string, ratio double")
+    assert dict(rows(prepare.paraphrase_groups(pairs, spark.createDataFrame(q, "question_id string, ordinal int")), "question_id", "paraphrase_group_id")) == group
+    assert len(set(group.values())) > 2
+
+
+def test_evidence_skeleton(spark):
+    segs = spark.createDataFrame([("a", "v", 9.0, "said", [(2.0,), (1.0,)]), ("b", "v", 20.0, "more ", [(2.0,)]), ("c", "w", 5.0, " ", None)], "segment_id string, video_id string, end_time double, transcript string, keyframes array<struct<timestamp:double>>")
+    q = [(1, "audio", True, "v", ["b", "a"]), (2, "visual", True, "v", ["a", "b"]), (3, "multimodal", True, "v", ["a"]), (4, "ocr", True, "v", ["b"]), (5, "audio", False, "v", ["a"]), (6, "visual", True, "w", ["c", "zz"]), (7, "audio", True, "none", [])]
+    got = {r["question_id"]: r for r in prepare.evidence_skeleton(spark.createDataFrame([(*x, "42") for x in q], "question_id int, question_type string, answerable boolean, video_id string, relevant_segment_ids array<string>, answer string"), segs).collect()}
+    e = {n: r["modality_evidence"] for n, r in got.items()}
+    assert e[1]["asr"].asDict() == {"quote": "more  said", "segment_ids": ["b", "a"], "human_verified": False} and e[1]["visual"] is None
+    assert e[2]["visual"].asDict() == {"frame_timestamps": [1.0, 2.0], "human_observation": "", "human_verified": False} and e[2]["asr"] is None
+    assert e[3]["asr"]["quote"] == "said" and e[3]["visual"]["frame_timestamps"] == [1.0, 2.0] and e[4]["ocr"].asDict() == {"text": "42", "frame_timestamps": [2.0], "human_verified": False}
+    assert e[5].asDict() == e[6].asDict() == e[7].asDict() == {"asr": None, "visual": None, "ocr": None}
+    assert (got[5]["unanswerable_reason"], got[5]["checked_time_ranges"], got[5]["video_duration"], got[1]["unanswerable_reason"]) == ("outside_video_scope", [], 20.0, None)
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "b", 1)], "query_id int, segment_id string, rank int")
     rel = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, segment_id string")
