@@ -351,6 +351,29 @@ def retrieval_metrics(spark, d):
     return rounded(evaluate.macro_average(evaluate.retrieval_by_question(bm25(spark, d), relevance(spark, d))))
 
 
+@query(Q.route_ablation)
+def route_ablation(spark, d):
+    """Every set of routes, and all routes with a model that reranks what they find: their measures, side by side."""
+    hits = routes(spark, d).withColumn("rank", F.col("pos")).withColumn("score", 1.0 / F.col("pos"))
+    names = ("dense", "lexical", "overlap")
+    runs = retrieval.route_sets(hits, names, 60, 20).select(F.col("route_set").alias("run"), "query_id", "segment_id", "rank")
+    every = "+".join(names)
+    better = adapters.rerank(runs.where(F.col("run") == every).drop("run"), document_segments(spark, d), questions(spark, d), adapters.hashing_reranker(), 20)
+    runs = runs.unionByName(better.select(F.lit(f"{every}+reranker").alias("run"), "query_id", "segment_id", F.col("place").alias("rank")))
+    return rounded(evaluate.macro_average(evaluate.retrieval_by_question(runs, relevance(spark, d), keys=("run",)), ("run",)))
+
+
+@query(Q.granularity_grid)
+def granularity_grid(spark, d):
+    """Frames as what is searched, at four depths and by both aggregations, against the segment that a query's vector is of."""
+    rows, asked = vector_rows(spark, d), vector_queries(spark, d)
+    hits = retrieval.frame_grid(rows.withColumnRenamed("segment_id", "frame_id"), membership(rows), asked, 20, (20, 50, 100, 200))
+    truth = asked.select("query_id", F.expr("query_id div 4").alias("segment_id"))
+    measures = evaluate.macro_average(evaluate.retrieval_by_question(hits, truth, (1, 5), ("aggregation", "depth")), ("aggregation", "depth"))
+    returned = hits.groupBy("aggregation", "depth", "query_id").agg(F.count(F.lit(1)).alias("n")).groupBy("aggregation", "depth").agg(F.min("n").alias("fewest"), F.avg("n").alias("mean_returned"), F.max("n").alias("most"))
+    return rounded(measures.join(returned, ["aggregation", "depth"]))
+
+
 @query(Q.metrics_by_type)
 def metrics_by_type(spark, d):
     one = evaluate.retrieval_by_question(bm25(spark, d), relevance(spark, d))

@@ -145,6 +145,38 @@ METRICS = f"""{bm25()}, {RELEVANT}, n AS (SELECT query_id, count(*) AS n_relevan
     one AS (SELECT n.query_id, {', '.join(f'CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall_at_{k}' for k in (1, 5, 10))}, coalesce(1.0::DOUBLE / first, 0) AS mrr,
     {', '.join(f'coalesce(dcg{k}, 0) / list_sum(list_transform(range(1, least({k}, n_relevant) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_at_{k}' for k in (1, 5, 10))} FROM n LEFT JOIN g USING (query_id))"""
 MEASURES = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr", "ndcg_at_1", "ndcg_at_5", "ndcg_at_10"))
+
+
+def measured(runs: str, keys: tuple[str, ...], truth: str = "rel", cutoffs: tuple[int, ...] = (1, 5, 10)) -> str:
+    """CTEs up to av: the measures of each run of runs(keys, query_id, segment_id, rank)."""
+    own = ", ".join(keys)
+    return f"""tn AS (SELECT query_id, count(*) AS n_relevant FROM {truth} GROUP BY 1), names AS (SELECT DISTINCT {own} FROM {runs}),
+    mg AS (SELECT {own}, query_id, min(rank) AS first, {', '.join(f'sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg{k}' for k in cutoffs)} FROM {runs} JOIN {truth} USING (query_id, segment_id) GROUP BY ALL),
+    mo AS (SELECT {own}, tn.query_id, {', '.join(f'CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall_at_{k}' for k in cutoffs)}, coalesce(1.0::DOUBLE / first, 0) AS mrr,
+    {', '.join(f'coalesce(dcg{k}, 0) / list_sum(list_transform(range(1, least({k}, n_relevant) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_at_{k}' for k in cutoffs)} FROM tn CROSS JOIN names LEFT JOIN mg USING ({own}, query_id)),
+    av AS (SELECT {own}, count(*) AS questions, {', '.join(f'round(avg({m}), 6) AS {m}' for m in (*(f'recall_at_{k}' for k in cutoffs), 'mrr', *(f'ndcg_at_{k}' for k in cutoffs)))} FROM mo GROUP BY ALL)"""
+
+
+def _run(routes: tuple[str, ...]) -> str:
+    return _set(routes).replace(" AS route_set, segment_id, rank", " AS run, query_id, segment_id, rank", 1)
+
+
+route_ablation = rf"""WITH {ROUTES}, {UNION}, {RELEVANT}, s0 AS ({' UNION ALL '.join(map(_run, SETS))}),
+    pr AS (SELECT b.query_id, b.segment_id, b.rank, '<Query>: ' || q.query || chr(10) || '<Document>: Segment ID: ' || b.segment_id || chr(10) || 'Time: ' || printf('%.3f', (b.segment_id % 100)::DOUBLE) || '-' || printf('%.3f', (b.segment_id % 100) + 20.25) || ' seconds' || chr(10) || x.said AS pair
+    FROM s0 b JOIN q ON q.item_id = b.query_id JOIN (SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10) || chr(9)) <> '' THEN '[ASR] ' || trim(text, ' ' || chr(10) || chr(9)) ELSE '' END AS said FROM documents) x ON x.doc_id = b.segment_id WHERE b.run = 'dense+lexical+overlap'),
+    rr AS (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY round((('0x' || substr(md5(pair), 1, 8))::BIGINT + 0.5) / 4294967296.0, 9) DESC, rank) AS rank FROM pr),
+    runs AS (SELECT run, query_id, segment_id, rank FROM s0 UNION ALL SELECT 'dense+lexical+overlap+reranker', query_id, segment_id, rank FROM rr), {measured('runs', ('run',))} SELECT * FROM av"""
+
+
+def _depth(aggregate: str, depth: int) -> str:
+    return f"""SELECT '{'max' if aggregate == 'max' else 'top2_mean'}' AS aggregation, {depth}::BIGINT AS depth, query_id, segment_id, rank FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, segment_id) AS rank FROM (
+    SELECT query_id, segment_id, {aggregate}(score) AS score FROM (SELECT f.query_id, m.segment_id, f.score, row_number() OVER (PARTITION BY f.query_id, m.segment_id ORDER BY round(f.score, 9) DESC, f.segment_id) AS n
+    FROM x f JOIN m ON m.vec_id = f.segment_id WHERE f.rank <= {depth}) WHERE n <= 2 GROUP BY 1, 2)) WHERE rank <= 20"""
+
+
+granularity_grid = f"""WITH {dense('x', 'true', 'vec_id % 50 = 0', 200)}, {MEMBERS}, runs AS ({' UNION ALL '.join(_depth(a, k) for a in ('max', 'avg') for k in (20, 50, 100, 200))}),
+    rel AS (SELECT vec_id AS query_id, vec_id // 4 AS segment_id FROM embeddings WHERE vec_id % 50 = 0), {measured('runs', ('aggregation', 'depth'), cutoffs=(1, 5))},
+    c AS (SELECT aggregation, depth, query_id, count(*) AS n FROM runs GROUP BY ALL) SELECT av.*, fewest, mean_returned, most FROM av JOIN (SELECT aggregation, depth, min(n) AS fewest, round(avg(n), 6) AS mean_returned, max(n) AS most FROM c GROUP BY ALL) USING (aggregation, depth)"""
 retrieval_metrics = f"WITH {METRICS} SELECT count(*) AS questions, {MEASURES} FROM one"
 metrics_by_type = f"WITH {METRICS}, t AS (SELECT *, ['audio', 'visual', 'ocr', 'multimodal'][query_id % 4 + 1] AS question_type FROM one) SELECT coalesce(question_type, 'all') AS question_type, count(*) AS questions, {MEASURES} FROM t GROUP BY ROLLUP (question_type)"
 answer_em_f1 = r"""WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[\p{L}\p{N}_]') AS r, lead(role) OVER w AS nr, lead(regexp_extract_all(lower(text), '[\p{L}\p{N}_]')) OVER w AS np FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
