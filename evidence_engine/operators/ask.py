@@ -115,11 +115,14 @@ class Pipeline:
             out = hits if out is None else out.unionByName(hits)
         return out
 
-    def evidence(self, queries: DataFrame) -> DataFrame:
-        """(query_id, place, segment columns, fused_score, rerank_score): the best segments, also of questions that abstain."""
+    def _asked(self, queries: DataFrame) -> DataFrame:
         asked = queries.select("query_id", strip(F.col("query")).alias("query"))
-        asked = asked.withColumn("query", F.when(F.coalesce("query", F.lit("")) != "", F.col("query")).otherwise(F.raise_error(F.lit("query must not be empty"))))
-        fused = retrieval.fuse(self.recall(asked), self.rrf_k, self.fusion_top_k).select("query_id", "segment_id", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank"))
+        return asked.withColumn("query", F.when(F.coalesce("query", F.lit("")) != "", F.col("query")).otherwise(F.raise_error(F.lit("query must not be empty"))))
+
+    def _fused(self, hits: DataFrame) -> DataFrame:
+        return retrieval.fuse(hits, self.rrf_k, self.fusion_top_k).select("query_id", "segment_id", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank"))
+
+    def _ranked(self, asked: DataFrame, fused: DataFrame) -> DataFrame:
         text = searchable_text(F.col("transcript"), F.col("visual_caption"))
         if isinstance(self.reranker, adapters.Recipe):
             fused = adapters.rerank_pairs(fused, self._built(), asked, self.reranker)
@@ -129,10 +132,17 @@ class Pipeline:
         w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc(F.round("fused_score", 9)), "fused_rank")
         return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= self.rerank_top_k)
 
+    def evidence(self, queries: DataFrame) -> DataFrame:
+        """(query_id, place, segment columns, fused_score, rerank_score): the best segments, also of questions that abstain."""
+        asked = self._asked(queries)
+        return self._ranked(asked, self._fused(self.recall(asked)))
+
     def ask_batch(self, queries: DataFrame) -> DataFrame:
         """(query_id, answer, abstained, evidence): a row for every question, whatever it finds. Without abstention, questions
         with any evidence are answered by their best."""
-        best = self.evidence(queries)
+        return self._answered(queries, self.evidence(queries))
+
+    def _answered(self, queries: DataFrame, best: DataFrame) -> DataFrame:
         item = F.struct("place", "segment_id", "video_id", "start_time", "end_time", "transcript", "visual_caption", "fused_score", "rerank_score")
         found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))  # rerank_top_k items each
         first = F.col("evidence")[0]
@@ -150,15 +160,46 @@ class Pipeline:
         kind = found.schema["evidence"].dataType.simpleString()
         return out.select("query_id", "query", F.when(sure, told).otherwise(ABSTENTION).alias("answer"), (~sure).alias("abstained"), F.when(sure, F.col("evidence")).otherwise(F.coalesce(none, F.array().cast(kind))).alias("evidence"))
 
+    def timed(self, queries: DataFrame) -> tuple[list, dict[str, float]]:
+        """ask_batch()'s rows, and the milliseconds of recall, fusion, rerank, generation and in total. For that the stages run one
+        after the other, each kept until the next has run; ask_batch() leaves their order to Spark."""
+        marks, kept = [time.perf_counter()], []
+
+        def done(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            kept[-1].count()
+            marks.append(time.perf_counter())
+            return kept[-1]
+
+        try:
+            asked = self._asked(queries)
+            hits = done(self.recall(asked))
+            best = done(self._ranked(asked, done(self._fused(hits))))
+            rows = self._answered(queries, best).collect()  # a batch that someone waits for
+        finally:
+            for df in kept:
+                df.unpersist()
+        marks.append(time.perf_counter())
+        spans = dict(zip(("recall", "fusion", "rerank", "generation"), (1000 * (b - a) for a, b in zip(marks, marks[1:])), strict=True))
+        return rows, spans | {"total": 1000 * (marks[-1] - marks[0])}
+
+    def benchmark(self, queries: list[str], repeats: int = 5) -> DataFrame:
+        """(query, run, stage, ms): the stages of each question, run 0 the first, cold one; for evaluate.latency_summary()."""
+        spark, out = self._built().sparkSession, []
+        for run in range(repeats):
+            for query in queries:
+                spans = self.timed(spark.createDataFrame([(0, query)], "query_id long, query string"))[1]
+                out += [(query, run, stage, ms) for stage, ms in spans.items()]
+        return spark.createDataFrame(out, "query string, run int, stage string, ms double")
+
     def ask(self, query: str) -> dict:
-        """One question; latency is that of the whole plan, as Spark runs its stages as one."""
+        """One question, with the latency of its stages."""
         spark: SparkSession = self._built().sparkSession
         if not query.strip():
             raise ValueError("query must not be empty")
-        began = time.perf_counter()
-        row = self.ask_batch(spark.createDataFrame([(0, query)], "query_id long, query string")).first()
+        (row,), spans = self.timed(spark.createDataFrame([(0, query)], "query_id long, query string"))
         out = row.asDict(recursive=True)
-        return {"answer": out["answer"], "abstained": out["abstained"], "evidence": [e | {"video_url": f"/api/videos/{e['video_id']}"} for e in out["evidence"]], "latency_ms": {"total": 1000 * (time.perf_counter() - began)}}
+        return {"answer": out["answer"], "abstained": out["abstained"], "evidence": [e | {"video_url": f"/api/videos/{e['video_id']}"} for e in out["evidence"]], "latency_ms": spans}
 
     def video_path(self, video_id: str) -> str | None:
         found = self._built().where(F.col("video_id") == video_id).orderBy("start_time", "segment_id").select("source_path").first()

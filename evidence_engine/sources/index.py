@@ -5,6 +5,7 @@ last, so a folder without it is an unfinished one. The checks are aggregates and
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,9 +17,15 @@ from evidence_engine.sources.manifest import index_spec, read_manifest, write_ma
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or the warehouse if that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir. If that is unset, the warehouse, unless it is on a local
+    disk and Spark runs on more than one machine: then this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir")
+        on_one = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not on_one and (found.startswith("file:") or "://" not in found):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

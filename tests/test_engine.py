@@ -254,6 +254,18 @@ def test_evidence_skeleton(spark):
     assert (got[5]["unanswerable_reason"], got[5]["checked_time_ranges"], got[5]["video_duration"], got[1]["unanswerable_reason"]) == ("outside_video_scope", [], 20.0, None)
 
 
+def test_stage_latency(spark):
+    p = ask.Pipeline([ask.Lexical()]).build(ask.demo_segments(spark))
+    asked = spark.createDataFrame([(1, "retrieval system"), (2, "nothing of it")], "query_id long, query string")
+    answers, spans = p.timed(asked)
+    assert sorted(map(str, answers)) == sorted(map(str, p.ask_batch(asked).collect()))
+    assert list(spans) == ["recall", "fusion", "rerank", "generation", "total"] and abs(sum(spans.values()) - 2 * spans["total"]) < 1e-6
+    samples = p.benchmark(["retrieval system"], 3)
+    report = {r["stage"]: r for r in evaluate.latency_summary(samples.where("run > 0"), ("stage",)).collect()}
+    assert set(report) == set(spans) and all(r["n"] == 2 and r["p50"] <= r["max"] for r in report.values())
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "b", 1)], "query_id int, segment_id string, rank int")
     rel = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, segment_id string")
