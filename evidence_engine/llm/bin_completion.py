@@ -417,12 +417,14 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_work: int = 4_000_000) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = 4096, salts: int = 64, max_work: int = 4_000_000, most_rows: int = 1_000_000) -> DataFrame:
     """pieces(id, piece, start, length, ids_crc32, ...) and sequence_id, offset. pieces is read three times, so it should
-    be a written table."""
+    be a written table. Pieces of one length are ranked in `salts` sub-groups, in more if these would hold over most_rows."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     table = place_table(complete_bins(counts, capacity, max_work)[0])
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    many = {s: -(-n // most_rows) for s, n in counts.items() if n > salts * most_rows}
+    own = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("length")], F.lit(salts)) if many else F.lit(salts)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), own).cast("int"))
     share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = share.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")

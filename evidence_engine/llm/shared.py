@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; the warehouse, which they share too, if unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. If that is unset, the warehouse, unless it is on a
+    local disk and Spark runs on more than one machine: then this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir")
+        on_one = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not on_one and (found.startswith("file:") or "://" not in found):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return found.rstrip("/")
 
 
 def _path(spark: SparkSession, path: str):
