@@ -281,17 +281,21 @@ BROKEN = [
     ("m = 29", 27, "verified unanswerable item requires a valid unanswerable_reason"),
     ("m = 29", 28, "verified unanswerable item requires checked_time_ranges"),
     ("m = 28", 29, "verified audio item requires ASR quote and segment_ids"),
-    ("m = 30", 30, "verified visual item requires frame timestamps"),
-    ("m = 31", 31, "verified OCR item requires OCR text and frame timestamps"),
-    ("m = 32", 32, "verified multimodal item requires at least two valid modality sources"),
+    ("m = 16", 14, "answerable must be boolean"),
+    ("m = 16", 17, "unanswerable item must not contain relevant segments"),
+    ("m = 16", 24, "unanswerable evidence interval must be null"),
+    ("m IN (30, 35)", 30, "verified visual item requires frame timestamps"),
+    ("m IN (31, 37)", 31, "verified OCR item requires OCR text and frame timestamps"),
+    ("m IN (32, 39)", 32, "verified multimodal item requires at least two valid modality sources"),
 ]
 QS = "WITH qs AS (SELECT doc_id AS i, doc_id % 40 AS m, doc_id - 1 IN (SELECT doc_id FROM documents) AS before FROM documents)"
 question_violations = QS + " UNION ALL ".join(f" SELECT i + 1 AS line, {rule}::BIGINT AS rule, '{message}' AS message FROM qs WHERE {where}" for where, rule, message in BROKEN)
-question_summary = QS + """, v AS (SELECT *, m IN (5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 25, 28, 29, 30, 31, 32, 33) AS verified FROM qs WHERE m <> 0),
-    p AS (SELECT 'question_type' AS kind, CASE m WHEN 3 THEN 'smell' WHEN 30 THEN 'visual' WHEN 31 THEN 'ocr' WHEN 32 THEN 'multimodal' ELSE 'audio' END AS value FROM v
+frozen_split_violations = QS + " SELECT i + 1 AS line, 'verified item requires frozen split' AS message FROM qs WHERE m IN (5, 6, 7, 8, 9, 25) OR m >= 28"
+question_summary = QS + """, v AS (SELECT *, (m IN (5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 25) OR m >= 28) AS verified FROM qs WHERE m <> 0),
+    p AS (SELECT 'question_type' AS kind, CASE WHEN m = 3 THEN 'smell' WHEN m IN (30, 34, 35) THEN 'visual' WHEN m IN (31, 36, 37) THEN 'ocr' WHEN m IN (32, 38, 39) THEN 'multimodal' ELSE 'audio' END AS value FROM v
         UNION ALL SELECT 'verification_status', CASE WHEN m = 4 THEN 'unsure' WHEN verified THEN 'verified' ELSE 'generated_candidate' END FROM v
         UNION ALL SELECT 'split', CASE WHEN m = 10 THEN 'train' WHEN m IN (12, 14) THEN 'development' ELSE 'test' END FROM v WHERE m IN (10, 12, 13, 14, 15)
-        UNION ALL SELECT 'answerable', CASE WHEN m IN (20, 27, 29) THEN 'false' ELSE 'true' END FROM v),
+        UNION ALL SELECT 'answerable', CASE WHEN m IN (20, 27, 29) THEN 'false' ELSE 'true' END FROM v WHERE m <> 16),
     c AS (SELECT kind, value, count(*) AS n FROM p GROUP BY ALL)
     SELECT * FROM c UNION ALL SELECT 'warning', 'question types are severely imbalanced (>70% in one type)', 1 FROM c WHERE kind = 'question_type' HAVING max(n) > 0.7 * sum(n)
     UNION ALL SELECT 'warning', 'dataset contains no human-verified questions', 1 WHERE NOT EXISTS (SELECT * FROM c WHERE value = 'verified')"""
