@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import blank, strip_markup, video_identifier
@@ -13,21 +13,27 @@ SEGMENT_KEYS = ("segment_id", "video_id", "source_path", "start_time", "end_time
 VIDEO_KINDS = "*.{mp4,mkv,mov,avi,webm,flv,m4v}"
 
 
+#: Splits whose line counts are sent to every task; more of them meet their lines by key.
+BROADCAST_SPLITS = 100_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw): the file's lines with their numbers from 1, blank ones left out after counting. Numbers need only each
-    partition's number of lines, not all lines in one task."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each split of the file
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        before[r["part"]] = total
-        total += r["n"]
-    if not before:
-        return spark.createDataFrame([], "line long, raw string")
-    offsets = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    number = offsets[part] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return lines.select(number.cast("long").alias("line"), F.col("value").alias("raw")).where(~blank(F.col("raw")))
+    """(line, raw): the lines with their numbers from 1, blank ones left out after counting; a folder's files follow each other by
+    name. Lines are counted by file and start of block, however Spark packs these into partitions, and a line's number is its
+    place in its block and the lines before the block; no task sees all lines."""
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    few = len(spark.read.text(path).inputFiles()) <= BROADCAST_SPLITS // 16 and splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    met = lines.join(F.broadcast(splits) if few else splits, ["_file", "_block"])
+    return met.select((F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long").alias("line"), "raw").where(~blank(F.col("raw")))
+
+
+def lenient_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The JSON objects of a file or folder; blank lines are passed over, and so are the numbers of lines."""
+    read = spark.read.schema(schema) if schema else spark.read
+    return read.option("mode", "FAILFAST").json(path)
 
 
 def save_segments(segments: DataFrame, path: str) -> None:

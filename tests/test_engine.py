@@ -560,6 +560,24 @@ def test_jsonl(spark, tmp_path):
                 jsonl.load_questions(spark, path, kept)
 
 
+def test_lines_of_a_folder_in_splits(spark, tmp_path):
+    rng, want = random.Random(5), []
+    for name in ("a.jsonl", "b.jsonl", "c.jsonl"):
+        own = [rng.choice(("", "  ", json.dumps({"k": "x" * rng.randrange(90)}))) for _ in range(rng.randint(200, 400))]
+        (tmp_path / name).write_text("".join(x + "\n" for x in own))
+        want += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+        found = jsonl.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert sorted(rows(found, "line", "raw")) == [(n, x) for n, x in enumerate(want, 1) if x.strip()]
+        assert "map(" not in found._jdf.queryExecution().toString().lower()
+        assert jsonl.lenient_rows(spark, str(tmp_path), "k string").count() == sum(bool(x.strip()) for x in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_catalogue(spark, tmp_path):
     rows_ = [(1, 1, "新闻 <b>联播</b>", "video/webm", 2_000_000, "CC BY"), (1, 2, "新闻联播", "video/webm", 3_000_000, "CC BY"), (2, 1, "にほん新闻", "video/webm", 2_000_000, "CC BY"), (3, 1, "新闻", "image/png", 2_000_000, "CC BY"), (4, 1, "新闻", "video/mp4", 5, "CC BY"), (5, 1, "新闻", "video/mp4", 2_000_000, "secret")]
     df = spark.createDataFrame(rows_, "page_id int, fetched int, title string, mime string, size long, licence string")
