@@ -48,7 +48,7 @@ for _kind, _bytes in ((_LETTER, bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7
 class WordTable:
     """Distinct word -> its ids as little-endian 32-bit bytes. Emptied at its bound, which only costs time."""
 
-    def __init__(self, path: str, max_entries: int = 600_000, max_key: int = 256) -> None:
+    def __init__(self, path: str, max_entries: int = 400_000, max_key: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,6 +60,7 @@ class WordTable:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[bytes, bytes] = {}
         self.max_entries, self.max_key = max_entries, max_key
 
@@ -91,15 +92,20 @@ class WordTable:
         return {s for (s, _), t in zip(found, normal, strict=True) if t.isalpha()}
 
     def _words(self, texts: list[str | None]) -> list[list[bytes]]:
-        """The words of each text; marks at the end of a word that follow an ASCII letter are a word of their own, as they
-        are a run of their own for the tokenizer. ASCII letters are lowered, as it does, where no mark joins them."""
-        raw = [t.encode() if t else b"" for t in texts]
-        raw = [r if b"\xcc" in r or b"\xcd" in r else r.lower() for r in raw]  # combining marks begin with one of these
+        """The words of each text; marks behind a word of ASCII letters are a word of their own, as they are a run of their own
+        for the tokenizer. ASCII letters are lowered, as it does, in texts without marks that join them and without its
+        added tokens, which it takes as they are written."""
+        raw = [(r, r.lower()) for r in (t.encode() if t else b"" for t in texts)]
+        plain = lambda r, low: b"\xcc" not in r and b"\xcd" not in r and not any(a in low for a in self.added)  # noqa: E731  (such marks begin with these bytes)
+        raw = [low if plain(r, low) else r for r, low in raw]
         joint = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         kind = _KIND[joint]
         at = np.flatnonzero((kind[:-1] == _LETTER) & (kind[1:] == _MARK)) + 1
         other = np.flatnonzero(kind != _MARK)
         at = at[kind[other[np.searchsorted(other, at)]] == _SPACE]
+        outside = np.concatenate([[-1], np.flatnonzero(kind != _LETTER)])  # the last byte is a space, and what a word begins after must be
+        before = outside[np.searchsorted(outside, at) - 1]
+        at = at[kind[before] == _SPACE]
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         ends += np.searchsorted(at, ends)
         apart = np.insert(joint, at, 0x20).tobytes()
