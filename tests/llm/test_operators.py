@@ -381,7 +381,7 @@ def test_words_of_any_letters():
     t, words, rng = Tokenizer.from_file(path), bin_completion.WordTable(path), random.Random(1)
     points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c) not in " \t\n\v\f\r"]
     letters, others = [c for c in points if chr(c).isalpha()], [c for c in points if not chr(c).isalnum()]
-    texts = ["\u092a\u095d. \u092c\u095c, \u05d1\ufb31. \u0130.", "\u0130\u0130! <|endoftext|>. a<|startoftext|>b"]
+    texts = ["\u092a\u095d. \u092c\u095c, \u05d1\ufb31. \u0130.", "\u0130\u0130! <|endoftext|>. a<|startoftext|>b", "<|ENDOFTEXT|>, A. <|EndOfText|>!", "W\u030a, W\u030a! O. \u212a. don't, IT'S! a,'s x,. don't,, \u00c9t\u00e9, word!!"]
     for _ in range(2500):
         one = lambda: "".join(chr(rng.choice(rng.choice((letters, letters, points, others)))) for _ in range(rng.randint(1, 4))) + "".join(rng.choice("!.,;)]\"'s") for _ in range(rng.randint(0, 2)))
         texts.append(rng.choice((" ", "  ", "\n")).join(one() for _ in range(rng.randint(1, 8))))
