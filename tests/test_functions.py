@@ -47,3 +47,17 @@ def test_vectors(spark):
     median = sorted(values)[31] / 2 + sorted(values)[32] / 2
     assert bits & (2**64 - 1) == int("".join("1" if x > median else "0" for x in values), 2)
     assert one(spark, vectors.hamming(F.lit(5), F.lit(6))) == 2 and math.isclose(one(spark, vectors.dot(v, v)), 25.0)
+
+
+def test_char_grams_go_through_a_text_once(spark):
+    """A text of 40,000 characters, which took over a minute when every place cut the text anew."""
+    import time
+
+    long = "".join(chr(97 + (i * i // 7 + i) % 26) for i in range(40_000))
+    df = spark.createDataFrame([(long,)], "t string").select(text.char_grams(F.col("t"), ("the",)).alias("g"))
+    began = time.perf_counter()
+    got = df.first()[0]
+    left = long.replace("the", "")
+    assert set(got) == {left[i : i + 4] for i in range(len(left) - 3)} and len(got) == len(set(got))
+    assert time.perf_counter() - began < 20
+    assert one(spark, text.char_grams(F.lit(None).cast("string"))) == []
