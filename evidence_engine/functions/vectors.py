@@ -28,10 +28,11 @@ def mean_by(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def sign_hash(a: Column) -> Column:
     """64 bits: whether each of 64 components exceeds the median."""
-    mid = F.array_sort(a)
-    median = (mid[31].cast("double") + mid[32].cast("double")) / 2
-    bits = F.transform(a, lambda x, i: F.when(x.cast("double") > median, F.shiftleft(F.lit(1).cast("long"), 1)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(F.shiftright(b, 1)))
+    def packed(mid: Column) -> Column:
+        median = (mid[31].cast("double") + mid[32].cast("double")) / 2
+        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x.cast("double") > median, 1).otherwise(0).cast("long")))
+
+    return F.transform(F.array(F.array_sort(a)), packed)[0]  # a name for what is sorted, so that it is sorted once
 
 
 def hamming(a: Column, b: Column) -> Column:
