@@ -72,6 +72,46 @@ def test_lexical(spark):
     assert retrieval.lexical_search(docs, q, 0).count() == 0
 
 
+def test_term_search_against_all_pairs(spark, monkeypatch):
+    """Both routes in several blocks of questions, slices and parts of a batch, with copies and ties, against every pair; no pair is a row."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["检索系统"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts = [None, ""] + texts * 3  # copies: equal scores, told apart by id
+    asked = [" ".join(rng.choice([*words, "absent"]) for _ in range(rng.randint(1, 9))) for _ in range(23)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "segment_id long, text string").repartition(3)
+    q = spark.createDataFrame([(f"q{i:02}", t) for i, t in enumerate(asked)], "query_id string, query string")
+    tokens = lambda t: [] if not t else [x for w in t.lower().split() for x in ([w, *(w[i : i + 2] for i in range(len(w) - 1))] if w[0] > "z" else [w])]
+    own = [tokens(t) for t in texts]
+    df = {w: sum(w in o for o in own) for o in own for w in o}
+    want = {"lexical": {}, "overlap": {}}
+    for i, t in enumerate(asked):
+        for route in want:
+            weigh = lambda w, o: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * o.count(w) / (o.count(w) + 1.2)
+            score = lambda o, route=route, mine=tokens(t): sum(weigh(w, o) for w in mine if w in o) if route == "lexical" else sum(w in o for w in set(mine)) / len(set(mine))
+            ranked = sorted((-round(s, 9), k) for k, o in enumerate(own) if (s := score(o)) > 0)[:7]
+            want[route] |= {(f"q{i:02}", rank): (k, -s) for rank, (s, k) in enumerate(ranked, 1)}
+    for block, part, cells in ((2_048, 256, 2_000_000), (8, 3, 100)):
+        for name, value in (("QUESTION_BLOCK", block), ("QUESTION_SLICE", part), ("CELLS", cells)):
+            monkeypatch.setattr(retrieval, name, value)
+        found = retrieval.term_search(docs, q, 7)
+        got = {"lexical": {}, "overlap": {}}
+        for r in found.collect():
+            got[r["route"]][r["query_id"], r["rank"]] = (r["segment_id"], pytest.approx(r["score"], abs=2e-9))
+        assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_containing_shuffles_no_text(spark):
+    corpus = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (3, None), (4, "a - b")], "segment_id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two three"), (3, " - ")], "query_id long, text string")
+    found = retrieval.containing(corpus, items)
+    assert sorted(map(tuple, found.select("query_id", "segment_id").collect())) == [(1, 1), (2, 1), (2, 2), (3, 4)]
+    exchanges = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "segment_id" in line.split("Join", 1)[1].split("(")[0]]
+    assert not exchanges and "segment_id#" not in " ".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_frames(spark):
     frames = spark.createDataFrame([("f1", [1.0, 0.0]), ("f2", [0.8, 0.6]), ("f3", [0.0, 1.0])], "frame_id string, vector array<double>")
     members = spark.createDataFrame([("f1", "s1"), ("f1", "s0"), ("f2", "s2"), ("f3", "s2")], "frame_id string, segment_id string")
