@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -43,10 +44,14 @@ _LETTER, _MARK, _SPACE = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
 for _kind, _bytes in ((_LETTER, bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))), (_MARK, _TAIL), (_SPACE, b" \t\n\v\f\r")):
     _KIND[list(_bytes)] = _kind
+#: Words of ASCII letters and those of U+00C0 to U+00FF: letters for the tokenizer, before it normalises them and after.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class WordTable:
-    """Distinct word -> its ids as little-endian 32-bit bytes. Emptied at its bound, which only costs time."""
+    """Distinct word -> its ids as little-endian 32-bit bytes, in two halves. When the newer one is full the older one is
+    dropped and takes its place, and words that are met again move to the new one: words in use are not learned anew, and
+    what is forgotten only costs time."""
 
     def __init__(self, path: str, max_entries: int = 400_000, max_key: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +67,7 @@ class WordTable:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.max_entries, self.max_key = max_entries, max_key
 
     def _each(self, words: list[bytes]) -> list[bytes]:
@@ -81,7 +87,7 @@ class WordTable:
         raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
-    def _letters(self, stems: list[bytes]) -> set[bytes]:
+    def _letters(self, stems: list[bytes]) -> list[bytes]:
         """Those in which the tokenizer sees letters alone, once it has normalised them: marks that it takes off a letter
         would run on with those behind the word."""
         found = [(s, s.decode()) for s in stems]
@@ -89,63 +95,81 @@ class WordTable:
         normal = self.tokenizer.normalizer.normalize_str(" ".join(t for _, t in found)).split(" ")
         if len(normal) != len(found):
             normal = [self.tokenizer.normalizer.normalize_str(t) for _, t in found]
-        return {s for (s, _), t in zip(found, normal, strict=True) if t.isalpha()}
+        return [s for (s, _), t in zip(found, normal, strict=True) if t.isalpha()]
 
-    def _words(self, texts: list[str | None]) -> list[list[bytes]]:
-        """The words of each text; marks behind a word of ASCII letters are a word of their own, as they are a run of their own
-        for the tokenizer. ASCII letters are lowered, as it does, in texts without marks that join them and without its
-        added tokens, which it takes as they are written."""
+    def _words(self, texts: list[str | None]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The words of all texts in a row, and how many there are up to the end of each text. Marks behind a word of Latin
+        letters are a word of their own, as they are a run of their own for the tokenizer. ASCII letters are lowered, as it
+        does, in texts without marks that join them and without its added tokens, which it takes as they are written."""
         raw = [(r, r.lower()) for r in (t.encode() if t else b"" for t in texts)]
         plain = lambda r, low: b"\xcc" not in r and b"\xcd" not in r and not any(a in low for a in self.added)  # noqa: E731  (such marks begin with these bytes)
         raw = [low if plain(r, low) else r for r, low in raw]
         joint = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         kind = _KIND[joint]
+        latin = np.flatnonzero(joint == 0xC3)
+        latin = latin[(joint[latin + 1] != 0x97) & (joint[latin + 1] != 0xB7)]
+        kind[latin] = kind[latin + 1] = _LETTER
         at = np.flatnonzero((kind[:-1] == _LETTER) & (kind[1:] == _MARK)) + 1
         other = np.flatnonzero(kind != _MARK)
         at = at[kind[other[np.searchsorted(other, at)]] == _SPACE]
         outside = np.concatenate([[-1], np.flatnonzero(kind != _LETTER)])  # the last byte is a space, and what a word begins after must be
         before = outside[np.searchsorted(outside, at) - 1]
         at = at[kind[before] == _SPACE]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
-        ends += np.searchsorted(at, ends)
-        apart = np.insert(joint, at, 0x20).tobytes()
-        return [apart[i:j].split() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        inside = kind != _SPACE
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[at] = True
+        ends = np.searchsorted(np.flatnonzero(first), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1))
+        letters = joint[inside]
+        bounds = np.append(np.flatnonzero(first[inside]), len(letters))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]), ends
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        words = self._words(texts)
-        every = set().union(*words)
-        new = every.difference(self.ids)
-        if new:
-            if len(self.ids) + 2 * len(new) > self.max_entries:
-                self.ids.clear()
-                new = every
-            self._learn(new)
-        over = [w for w in new if len(w) > self.max_key]
-        long = dict(zip(over, self._each(over), strict=True))
-        ids = self.ids | long if long else self.ids
-        return [b"".join(map(ids.__getitem__, w)) for w in words]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A word of letters and marks at its end has the ids of the letters and of the marks, as the tokenizer parts them;
-        it lowers letters, so ASCII ones are lowered first."""
-        kept = [w for w in words if len(w) <= self.max_key]
-        stems = [w.rstrip(_TAIL) for w in kept]
-        keys = [s.lower() if s.isalpha() else s for s in stems]
-        plain = {s for s in keys if s.isalpha()}
-        other = self._letters(list({s for s in keys if s} - plain))
-        known: set[bytes] = set()
-        for group in (plain, other):
-            todo = list(group.difference(self.ids))
-            found = self._joint(todo)
-            if found is not None:  # otherwise there is a letter that this library doesn't take for one
-                self.ids.update(zip(todo, found, strict=True))
-                known |= group
-        parted = [(w, k, w[len(s) :]) for w, s, k in zip(kept, stems, keys, strict=True) if k in known]
-        whole = list(({t for _, _, t in parted if t} | {w for w, k in zip(kept, keys, strict=True) if k not in known}).difference(self.ids))
-        self.ids.update(zip(whole, self._each(whole), strict=True))
+        words, ends = self._words(texts)
+        if not len(words):
+            return [b""] * len(texts)
+        words = words.dictionary_encode()
+        found = pa.array(self._find(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        cuts = np.frombuffer(found.buffers()[1], np.int64)[[0, *ends]].tolist()
+        whole = memoryview(found.buffers()[2] or b"")
+        return [bytes(whole[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _find(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = [*map(self.ids.get, words)]
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(self.ids) + len(new) > self.max_entries // 2:
+            self.older, self.ids = self.ids, {}
+            new = range(len(words))
+        ids, older = self.ids, self.older
+        kept = [words[i] for i in new]
+        ids.update([(w, older[w]) for w in kept if w in older])
+        kept = [w for w in kept if w not in ids]
+        self._learn([w for w in kept if len(w) <= self.max_key])
+        long = [w for w in kept if len(w) > self.max_key]
+        long = dict(zip(long, self._each(long), strict=True))
+        for i in new:
+            found[i] = ids.get(words[i]) or long.get(words[i], b"")
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters are learned together. Any other of letters and marks at its end has the ids of the letters and of
+        the marks, as the tokenizer parts them."""
         ids = self.ids
-        ids.update([(w, ids[k] + ids[t] if t else ids[k]) for w, k, t in parted])
+        group = list(filter(_LATIN, words))
+        found = self._joint(group)
+        ids.update(zip(group, found or self._each(group), strict=True))
+        words = [w for w in words if w not in ids]
+        stems = [w.rstrip(_TAIL) for w in words]
+        group = self._letters(list({s for s in stems if s}))
+        found = self._joint(group)  # None if there is a letter that this library doesn't take for one
+        known = dict(zip(group, found, strict=True)) if found else {}
+        parted = [(w, s, w[len(s) :]) for w, s in zip(words, stems, strict=True) if s in known]
+        whole = list({t for _, _, t in parted if t} | {w for w, s in zip(words, stems, strict=True) if s not in known})
+        known |= zip(whole, self._each(whole), strict=True)
+        ids.update([(w, known[w]) for w in words if w in known])
+        ids.update([(w, known[s] + known[t] if t else known[s]) for w, s, t in parted])
 
 
 def word_table(path: str) -> WordTable:

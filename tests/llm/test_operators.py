@@ -794,3 +794,31 @@ def test_license_table():
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op8_toxicity", "op9_lm_scoring")])
 def test_query_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_words_in_use_are_not_learned_anew():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t, table, learned = Tokenizer.from_file(path), bin_completion.WordTable(path, max_entries=400), Counter()
+    learn = table._learn
+    table._learn = lambda words: (learned.update(words), learn(words))
+    common = [f"{a}{b}" for a in ("été", "straße", "niño", "word", "Ünder", "x1", "a×b") for b in "bcdefgh"]
+    for batch in range(12):
+        fresh = [f"q{chr(97 + batch)}{chr(97 + i % 26)}{'z' * (i // 26)}" for i in range(60)]
+        texts = [" ".join(common), " ".join(fresh), " ".join(f"{w}{mark}" for w in common[:28] for mark in (".", ",!!", "%%%")), None, ""]
+        assert table.encode(texts) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert len(table.ids) <= 200
+    assert max(learned.values()) == 1  # a word that every batch has is learned once
+    assert not any(w.startswith("été".encode()) and w.endswith(b"%") for w in learned)  # marks behind Latin letters are words of their own
+
+
+def test_marks_behind_latin_letters():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t, table, rng = Tokenizer.from_file(path), bin_completion.WordTable(path), random.Random(5)
+    parts = ["é", "É", "ß", "ÿ", "Þ", "×", "÷", "a", "Z", "œ", "İ", "ª", "µ", "́", "̸", "⃗", "҃", "'s", "'", ".", "=", "<", "1", "Ã", "\xa0", "\x85", "<|endoftext|>", " ", "\n", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    for i in range(0, len(texts), 64):
+        assert table.encode(texts[i : i + 64]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts[i : i + 64]]
