@@ -251,3 +251,24 @@ def test_collapsed_texts(hard):
     assert got.schema.simpleString() == hard.schema.simpleString()
     texts = {r["doc_id"]: r["text"] for r in got.collect()}
     assert texts[15] == "of" and texts[17].startswith("pär | #") and texts[4] is None and texts[6] == "   " and texts[1] == dict((r[0], r[1]) for r in hard_texts())[1].split(" the quick", 1)[0]
+
+
+def test_archive_learns_words_in_use_once(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from evidence_engine.llm import bin_completion
+
+    tokenizer, learned = queries.tokenizer_path("word_bpe_49k.json"), Counter()
+    small = bin_completion.WordTable(tokenizer, max_entries=200)
+    learn = small._learn
+    small._learn = lambda words: (learned.update(words), learn(words))
+    monkeypatch.setitem(bin_completion._tables, tokenizer, small)
+    common = " ".join(f"año{x}, été{x}. word{x}!!" for x in "bcdefgh")
+    data = [(i, f"{common} {' '.join(f'q{chr(97 + i)}{chr(97 + k)}' for k in range(26))}" if i % 5 else None) for i in range(26)]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "text": t}], schema=pa.schema([("id", pa.int64()), ("text", pa.string())])) for i, t in data]
+    out = [r for b in token_archive._tokens(tokenizer, 2)(batches) for r in b.to_pylist()]
+    want = [(i, n, crc) for i, _, n, crc in archived(data, tokenizer)]
+    assert [(r["doc_id"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in out] == want
+    assert max(learned.values()) == 1
